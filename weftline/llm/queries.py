@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, topk, url_lm
-from .common import table
+from . import chat, lm_scoring, mixing, packing, topk, url_lm
+from .common import crc_mod, table
 
 URL_RULES = (
     ("allow", "org/"),
@@ -51,6 +51,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_exact_topk": op7_exact_topk,
     "op8_source_mixing": op8_source_mixing,
 }
