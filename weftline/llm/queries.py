@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm_scoring, mixing, packing, topk, url_lm
+from . import chat, langid, lm_scoring, mixing, packing, topk, url_lm
 from .common import crc_mod, table
 
 URL_RULES = (
@@ -22,6 +22,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, crc_mod("doc_id", 4) != 2, vocab_path=public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -67,6 +73,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_id": op2_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_lm_scoring": op6_lm_scoring,
