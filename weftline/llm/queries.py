@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm_scoring, mixing, packing, topk, url_lm
+from . import chat, langid, lm_scoring, mixing, packing, pii, topk, url_lm
 from .common import crc_mod, table
 
 URL_RULES = (
@@ -71,6 +71,20 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda c: c["base"])
+    line = lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))
+    kinds = F.transform(base, lambda c: c["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -79,6 +93,7 @@ QUERIES = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_exact_topk": op7_exact_topk,
     "op8_source_mixing": op8_source_mixing,
+    "op9_pii": op9_pii,
 }
 
 OP4_SQL = r"""
