@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm_scoring, mixing, packing, pii, topk, url_lm, vecdedup
+from . import chat, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, url_lm, vecdedup
 from .common import crc_mod, table
 
 URL_RULES = (
@@ -89,6 +89,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -99,6 +103,7 @@ QUERIES = {
     "op7_exact_topk": op7_exact_topk,
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 OP4_SQL = r"""
@@ -148,4 +153,22 @@ SELECT query_id, cast(row_number() OVER w AS INTEGER) AS rank, vec_id, score
 FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-ORACLE_SQL = {"op3_vector_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_exact_topk": OP7_SQL}
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE k >= 0.8 * (p.n + q.n - k) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+comp AS (SELECT x, min(y) AS low FROM reach GROUP BY x),
+m AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_links, least(d.doc_id, coalesce(comp.low, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(comp.low, d.doc_id)) AS kept
+FROM documents d LEFT JOIN m ON m.x = d.doc_id LEFT JOIN comp ON comp.x = d.doc_id
+"""
+
+ORACLE_SQL = {"op10_ngram_join": OP10_SQL, "op3_vector_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_exact_topk": OP7_SQL}
