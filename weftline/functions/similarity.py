@@ -1,0 +1,71 @@
+"""String similarities that Spark has no expression for, over Arrow batches."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def jaro(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(len(a), len(b)) // 2 - 1
+    used, hits = [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                hits.append(c)
+                break
+    if not hits:
+        return 0.0
+    other = [c for c, u in zip(b, used, strict=True) if u]
+    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
+    m = len(hits)
+    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Jaro, raised by a tenth of the rest for each of up to four equal first letters where it is over 0.7."""
+    s = jaro(a, b)
+    prefix = 0
+    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
+        prefix += 1
+    return s + prefix * 0.1 * (1 - s) if s > 0.7 else s
+
+
+def damerau(a: str, b: str) -> int:
+    """Edits with swaps of neighbours, any substring edited further."""
+    last: dict[str, int] = {}
+    top = len(a) + len(b)
+    d = [[top] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        d[i + 1][1] = i
+    for j in range(len(b) + 1):
+        d[1][j + 1] = j
+    for i, x in enumerate(a, 1):
+        at = 0
+        for j, y in enumerate(b, 1):
+            k, m = last.get(y, 0), at
+            if x == y:
+                at = j
+            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        last[x] = i
+    return d[-1][-1]
+
+
+def jaro_winkler_of(a: Column, b: Column) -> Column:
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(score, "double")(a, b)
+
+
+def damerau_of(a: Column, b: Column) -> Column:
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else damerau(p, q) for p, q in zip(x, y, strict=True)], dtype="Int64")
+
+    return F.pandas_udf(score, "long")(a, b)

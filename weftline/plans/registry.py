@@ -8,7 +8,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MODULES = ("graph", "build", "search", "community", "merging")
+MODULES = ("graph", "build", "search", "community", "merging", "text")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
