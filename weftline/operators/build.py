@@ -131,3 +131,8 @@ def diagnose(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     undirected = both.agg(F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("duplicates_undirected"))
     return counted.crossJoin(directed).crossJoin(undirected)  # one row each
+
+
+def richness(*columns: str) -> Column:
+    """How many of the columns say something."""
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))

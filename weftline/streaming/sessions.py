@@ -13,7 +13,8 @@ from ..session import checkpointed
 
 def debounced(events: DataFrame, gap: str, time: str = "ts", key: str | None = None, late: str | None = None) -> DataFrame:
     """Batches of events with no silence of `gap` in them: start, end (of the last event's
-    gap), n and what kinds the batch holds. late: how long a stream waits for stragglers."""
+    gap), n and what kinds the batch holds. late: how long a stream waits for stragglers; on a
+    stream, Spark asks for a key."""
     if late:
         events = events.withWatermark(time, late)
     keys = [F.session_window(time, gap).alias("w"), *([F.col(key)] if key else [])]
@@ -31,7 +32,7 @@ def triggers(batches: DataFrame, code: tuple[str, ...]) -> DataFrame:
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(changes: DataFrame) -> DataFrame:
