@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a longest run of anything but these six characters (a Java regex class).
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..session import checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder and read from there ever after.
+__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "table", "usable_vector"]
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests on
-    one machine) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-checkpoint-"))
-    return df.checkpoint(eager=True)
+#: A word is a longest run of anything but these six characters (a Java regex class).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -154,7 +154,20 @@ class Identifier:
         self.known = np.concatenate([self.known, self.segmenter.log_p(new, self.p)])
         return self.known[np.fromiter((self.memo[r] for r in runs), np.int64, len(runs))]
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array, most: int = 4_000_000) -> tuple[list[str], np.ndarray]:
+        """A language and a score for each text, `most` characters at a time (or one text)."""
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+        langs, scores, at = [], [], 0
+        while at < len(texts):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            some = self._predict(texts.slice(at, to - at))
+            langs += some[0]
+            scores.append(some[1])
+            at = to
+        return langs, np.concatenate(scores or [np.zeros(0)])
+
+    def _predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         runs, run, doc = letter_runs(texts)
         n = np.bincount(doc, minlength=len(texts))
         if not self.langs:
