@@ -59,16 +59,69 @@ def letter_runs(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(numbers), np.concatenate(run_of), np.concatenate(doc_of)
 
 
+def spans(n: int) -> list[tuple[int, int]]:
+    """Parts (start, end) of n characters, by end, none longer than LONGEST."""
+    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
+
+
+class PieceTable:
+    """Numbers of pieces by hash, for many parts of texts at once: two open tables, keys kept
+    whole; a seed is taken under which all pieces find a place."""
+
+    BITS = 20
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        for seed in range(1, 100):
+            self.factor = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+            self.keys = np.zeros((2, 1 << self.BITS), np.uint64)
+            self.numbers = np.full((2, 1 << self.BITS), -1, np.int32)
+            if all(self._put(k, n) for k, n in pieces.items()):
+                return
+        raise ValueError("no seed found")
+
+    def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        h = (h ^ code) * self.factor
+        return h ^ (h >> np.uint64(29))
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64((1 << self.BITS) - 1)
+        return (h & mask).astype(np.int64), ((h >> np.uint64(self.BITS)) & mask).astype(np.int64)
+
+    def _put(self, piece: str, number: int) -> bool:
+        h = np.zeros(1, np.uint64)
+        for c in piece:
+            h = self.step(h, np.array([ord(c)], np.uint64))
+        for table, at in enumerate(self.places(h)):
+            if self.numbers[table, at[0]] < 0:
+                self.keys[table, at[0]], self.numbers[table, at[0]] = h[0], number
+                return True
+        return False
+
+    def get(self, h: np.ndarray, missing: int) -> np.ndarray:
+        a, b = self.places(h)
+        first = self.keys[0][a] == h
+        out = np.where(first, self.numbers[0][a], missing)
+        second = np.nonzero(~first & (self.keys[1][b] == h) & (self.numbers[1][b] >= 0))[0]
+        out[second] = self.numbers[1][b[second]]
+        return out
+
+
 class Segmenter:
     def __init__(self, pieces: dict[str, int]) -> None:
         self.pieces = pieces
+        self.table = PieceTable(pieces)
 
     def grid(self, runs: list[str], n: int) -> np.ndarray:
-        """Piece numbers of all parts of runs of n characters, -1 for none: runs x parts."""
-        get = self.pieces.get
-        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
-        flat = [get(r[i:j], -1 if j - i > 1 else 0) for r in runs for i, j in spans]
-        return np.array(flat, np.int32).reshape(len(runs), -1)
+        """Piece numbers of all parts of runs of n characters, -1 for none: parts x runs."""
+        place = {(i, j): k for k, (i, j) in enumerate(spans(n))}
+        codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(len(runs), n).T.astype(np.uint64)
+        out = np.empty((len(place), len(runs)), np.int32)
+        for i in range(n):
+            h = np.zeros(len(runs), np.uint64)
+            for j in range(i + 1, min(n, i + LONGEST) + 1):
+                h = self.table.step(h, codes[j - 1])
+                out[place[i, j]] = self.table.get(h, -1 if j - i > 1 else 0)
+        return out
 
     def by_length(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         lengths = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
@@ -85,11 +138,8 @@ class Segmenter:
         for at, grid, n in self.by_length(runs):
             alpha = np.zeros((n + 1, len(at), p.shape[1]))
             alpha[0] = 1
-            k = 0
-            for j in range(1, n + 1):
-                for i in range(max(0, j - LONGEST), j):
-                    alpha[j] += alpha[i] * p[grid[:, k]]
-                    k += 1
+            for k, (i, j) in enumerate(spans(n)):
+                alpha[j] += alpha[i] * p[grid[k]]
             out[at] = np.log(alpha[n])
         for r in (i for i, x in enumerate(runs) if len(x) + 1 > SHORT):
             out[r] = self.long_log_p(MARK + runs[r], p)
@@ -122,16 +172,16 @@ class Segmenter:
             for at, grid, n in grids:
                 alpha, beta = np.zeros((n + 1, len(at), langs)), np.zeros((n + 1, len(at), langs))
                 alpha[0], beta[n] = 1, 1
-                spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
-                for k, (i, j) in enumerate(spans):
-                    alpha[j] += alpha[i] * p[grid[:, k]]
-                for k, (i, j) in sorted(enumerate(spans), key=lambda x: -x[1][1]):
-                    beta[i] += beta[j] * p[grid[:, k]]
+                parts = list(enumerate(spans(n)))
+                for k, (i, j) in parts:
+                    alpha[j] += alpha[i] * p[grid[k]]
+                for k, (i, j) in sorted(parts, key=lambda x: -x[1][1]):
+                    beta[i] += beta[j] * p[grid[k]]
                 weight = counts[at] / alpha[n]
-                for k, (i, j) in enumerate(spans):
-                    use = alpha[i] * p[grid[:, k]] * beta[j] * weight
+                for k, (i, j) in parts:
+                    use = alpha[i] * p[grid[k]] * beta[j] * weight
                     for lang in range(langs):
-                        expected[:, lang] += np.bincount(np.where(grid[:, k] < 0, size - 1, grid[:, k]), use[:, lang], size)
+                        expected[:, lang] += np.bincount(np.where(grid[k] < 0, size - 1, grid[k]), use[:, lang], size)
             expected[0] = expected[1:-1].sum(0) * 1e-6  # characters outside the vocabulary say nothing
             expected[-1] = 0
             p = expected / expected.sum(0)
@@ -146,13 +196,19 @@ class Identifier:
         self.memo: dict[str, int] = {}
         self.known = np.zeros((0, len(langs)))
 
-    def log_p(self, runs: list[str]) -> np.ndarray:
+    def log_p(self, runs: list[str], often: np.ndarray) -> np.ndarray:
+        """Of each run; those that occur more than once are remembered."""
         if len(self.memo) > self.MEMO:
             self.memo, self.known = {}, self.known[:0]
-        new = [r for r in runs if r not in self.memo]
-        self.memo.update({r: len(self.known) + i for i, r in enumerate(new)})
-        self.known = np.concatenate([self.known, self.segmenter.log_p(new, self.p)])
-        return self.known[np.fromiter((self.memo[r] for r in runs), np.int64, len(runs))]
+        at = np.fromiter((self.memo.get(r, -1) for r in runs), np.int64, len(runs))
+        new = np.nonzero(at < 0)[0]
+        found = self.segmenter.log_p([runs[i] for i in new], self.p)
+        out = np.empty((len(runs), len(self.langs)))
+        out[at >= 0], out[new] = self.known[at[at >= 0]], found
+        again = often[new] > 1
+        self.memo.update({runs[i]: len(self.known) + k for k, i in enumerate(new[again])})
+        self.known = np.concatenate([self.known, found[again]])
+        return out
 
     def predict(self, texts: pa.Array, most: int = 4_000_000) -> tuple[list[str], np.ndarray]:
         """A language and a score for each text, `most` characters at a time (or one text)."""
@@ -172,7 +228,7 @@ class Identifier:
         n = np.bincount(doc, minlength=len(texts))
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        each = self.log_p(runs)
+        each = self.log_p(runs, np.bincount(run, minlength=len(runs)))
         total = np.stack([np.bincount(doc, each[run, k], len(texts)) for k in range(len(self.langs))], 1)
         scaled = (total - total.max(1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
         share = np.exp(scaled)
