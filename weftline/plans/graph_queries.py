@@ -146,7 +146,7 @@ def affected_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "import_cycles",
-    """WITH RECURSIVE f AS (SELECT DISTINCT 'c' || (o_custkey % 40) AS src, 'c' || (o_orderkey * 7 % 40) AS dst FROM orders WHERE o_orderkey % 11 = 0),
+    """WITH RECURSIVE f AS (SELECT DISTINCT 'c' || (o_custkey % 200) AS src, 'c' || (CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 200 * 7 ELSE o_custkey % 200 * 3 + 1 END % 200) AS dst FROM orders),
  arc AS (SELECT DISTINCT src, dst FROM f WHERE src <> dst),
  p AS (SELECT [src] AS path, dst AS tgt FROM arc WHERE dst > src
    UNION ALL SELECT list_append(path, tgt), arc.dst FROM p JOIN arc ON arc.src = p.tgt WHERE arc.dst > path[1] AND arc.dst <> p.tgt AND NOT list_contains(path, arc.dst) AND len(path) < 4)
@@ -154,9 +154,10 @@ def affected_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM p JOIN arc ON arc.src = p.tgt AND arc.dst = path[1] ORDER BY length, cycle LIMIT 20""",
 )
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
-    name = lambda c: F.concat(F.lit("c"), (c % 40).cast("string"))
-    return G.cycles(o.select(name(F.col("o_custkey")).alias("src"), name(F.col("o_orderkey") * 7).alias("dst")))
+    k = F.col("o_custkey") % 200
+    name = lambda c: F.concat(F.lit("c"), (c % 200).cast("string"))
+    arcs = table(spark, sf_dir, "orders").select(name(k).alias("src"), name(F.when(F.col("o_orderkey") % 2 == 0, k * 7).otherwise(k * 3 + 1)).alias("dst"))
+    return G.cycles(arcs)
 
 
 @query(

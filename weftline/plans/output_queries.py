@@ -25,20 +25,20 @@ def to_cypher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     "graphml_rows",
     kg(""" SELECT line, count(*) AS n FROM (
  SELECT '<node id="' || id || '"><data key="label">' || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</data></node>' AS line FROM nodes
- UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="relation">' || relation || '</data></edge>' FROM edges WHERE relation <> 'calls') GROUP BY line"""),
+ UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="relation">' || relation || '</data></edge>' FROM edges) GROUP BY line"""),
 )
 def graphml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.graphml(nodes(spark, sf_dir), edges(spark, sf_dir).where("relation <> 'calls'")).groupBy("line").agg(F.count("*").alias("n"))
+    return W.graphml(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query(
     "node_link_json",
     kg(""" SELECT kind, json, count(*) AS n FROM (
  SELECT 'node' AS kind, '{"id":"' || id || '","label":"' || label || '","file_type":"' || file_type || '","source_file":"' || source_file || '","community":' || community || '}' AS json FROM nodes
- UNION ALL SELECT 'link', '{"source":"' || src || '","target":"' || dst || '","relation":"' || relation || '","confidence":"' || confidence || '"}' FROM edges WHERE relation = 'references') GROUP BY ALL"""),
+ UNION ALL SELECT 'link', '{"source":"' || src || '","target":"' || dst || '","relation":"' || relation || '","confidence":"' || confidence || '"}' FROM edges) GROUP BY ALL"""),
 )
 def node_link_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.node_link(nodes(spark, sf_dir), edges(spark, sf_dir).where("relation = 'references'")).groupBy("kind", "json").agg(F.count("*").alias("n"))
+    return W.node_link(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("kind", "json").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -117,24 +117,24 @@ def cross_repo_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "external_unify",
-    kg(""", x AS (SELECT 'ext_' || l_orderkey AS id, 'Customer#' || lpad((l_partkey)::VARCHAR, 9, '0') AS label FROM lineitem WHERE l_linenumber = 1)
+    kg(""", x AS (SELECT DISTINCT 'ext_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS id, 'Customer#' || lpad((l_partkey)::VARCHAR, 9, '0') AS label FROM lineitem)
  SELECT x.id, coalesce(min(n.id), x.id) AS bound FROM x LEFT JOIN nodes n USING (label) GROUP BY x.id, x.label"""),
 )
 def external_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    ext = item.select(F.concat(F.lit("ext_"), _s("l_orderkey")).alias("id"), F.concat(F.lit("Customer#"), F.lpad(_s("l_partkey"), 9, "0")).alias("label")).distinct()
+    item = table(spark, sf_dir, "lineitem")
+    ext = item.select(F.concat(F.lit("ext_"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey")).alias("id"), F.concat(F.lit("Customer#"), F.lpad(_s("l_partkey"), 9, "0")).alias("label")).distinct()
     known = nodes(spark, sf_dir).groupBy("label").agg(F.min("id").alias("known"))
     return ext.join(known, "label", "left").select("id", F.coalesce("known", "id").alias("bound"))
 
 
 @query(
     "pr_impact",
-    kg(""", c AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'app/' || f WHEN 1 THEN string_split(f, '/')[-1] ELSE f END AS path FROM (SELECT o_orderkey, 'sales/y' || year(o_orderdate) || '.py' AS f FROM orders WHERE o_orderkey % 5 = 0)),
+    kg(""", c AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'app/' || f WHEN 1 THEN string_split(f, '/')[-1] ELSE f END AS path FROM (SELECT o_orderkey, 'sales/y' || year(o_orderdate) || '.py' AS f FROM orders)),
  f AS (SELECT DISTINCT source_file FROM nodes WHERE source_file <> '')
  SELECT path, source_file FROM c JOIN f ON path = source_file OR ends_with(path, '/' || source_file) OR ends_with(source_file, '/' || path)"""),
 )
 def pr_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     f = F.concat(F.lit("sales/y"), F.year("o_orderdate").cast("string"), F.lit(".py"))
     k = F.col("o_orderkey") % 3
     changed = o.select(F.when(k == 0, F.concat(F.lit("app/"), f)).when(k == 1, F.substring_index(f, "/", -1)).otherwise(f).alias("path"))
@@ -143,15 +143,17 @@ def pr_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "interface_dispatch",
-    """WITH i AS (SELECT DISTINCT 'T' || l_suppkey AS type, 'I' || (l_partkey % 400) AS interface FROM lineitem WHERE l_orderkey % 40 = 0), one AS (SELECT interface, min(type) AS type FROM i GROUP BY interface HAVING count(DISTINCT type) = 1),
- m AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'I' || (p_partkey % 400) ELSE 'T' || (p_partkey % 100) END AS owner, p_name AS name, 'p' || p_partkey AS id FROM part),
+    """WITH i AS (SELECT DISTINCT 'T' || CASE WHEN l_partkey % 1000 % 3 = 0 THEN l_suppkey % 97 ELSE l_partkey % 1000 % 97 END AS type, 'I' || (l_partkey % 1000) AS interface FROM lineitem),
+ one AS (SELECT interface, min(type) AS type FROM i GROUP BY interface HAVING count(DISTINCT type) = 1),
+ m AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'I' || (p_partkey % 1000) ELSE 'T' || (p_partkey % 97) END AS owner, p_name AS name, 'p' || p_partkey AS id FROM part),
  u AS (SELECT owner, name, min(id) AS id FROM m GROUP BY ALL HAVING count(*) = 1)
  SELECT a.id AS src, b.id AS dst, 0.9::DOUBLE AS score FROM one JOIN u a ON a.owner = one.interface JOIN u b ON b.owner = one.type AND b.name = a.name""",
 )
 def interface_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
-    implements = i.select(F.concat(F.lit("T"), _s("l_suppkey")).alias("type"), F.concat(F.lit("I"), (F.col("l_partkey") % 400).cast("string")).alias("interface"))
-    owner = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("I"), (F.col("p_partkey") % 400).cast("string"))).otherwise(F.concat(F.lit("T"), (F.col("p_partkey") % 100).cast("string")))
+    k = F.col("l_partkey") % 1000
+    kind = F.when(k % 3 == 0, F.col("l_suppkey") % 97).otherwise(k % 97)
+    implements = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("T"), kind.cast("string")).alias("type"), F.concat(F.lit("I"), k.cast("string")).alias("interface"))
+    owner = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("I"), (F.col("p_partkey") % 1000).cast("string"))).otherwise(F.concat(F.lit("T"), (F.col("p_partkey") % 97).cast("string")))
     methods = table(spark, sf_dir, "part").select(owner.alias("owner"), F.col("p_name").alias("name"), F.concat(F.lit("p"), _s("p_partkey")).alias("id"))
     return R.interface_dispatch(implements, methods)
 

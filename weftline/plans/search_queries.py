@@ -102,11 +102,11 @@ def render_budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "query_terms_benchmark",
-    r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: NOT regexp_full_match(x, '[a-z]{1,2}'))))[1:8], ' ') AS terms FROM benchmark""",
+    r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: NOT regexp_full_match(x, '[a-z]{1,2}')))), ' ') AS terms FROM benchmark""",
 )
 def query_terms_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(S.tokens(F.col("text")), lambda w: ~w.rlike("^[a-z]{1,2}$"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.array_sort(F.array_distinct(words)), 1, 8), " ").alias("terms"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("terms"))
 
 
 @query("query_graph", None)

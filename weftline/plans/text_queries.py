@@ -16,14 +16,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query("normalize_id", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{N}_]+', '_', 'g'), '_+', '_', 'g'), '_') AS norm FROM documents")
+@query("normalize_id", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '_', 'g'), '_+', '_', 'g'), '_')) AS norm FROM documents")
 def normalize_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.normalize_id(F.substring("text", 1, 80)).alias("norm"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_id(F.col("text"))).alias("norm"))
 
 
-@query("label_norm", r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM documents")
+@query("label_norm", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS norm FROM documents")
 def label_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.normalize_label(F.substring("text", 1, 80)).alias("norm"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_label(F.col("text"))).alias("norm"))
 
 
 @query("strip_diacritics", "SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents")
