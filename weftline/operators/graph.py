@@ -92,9 +92,9 @@ def god_nodes(degreed: DataFrame, top: int = 10, exclude_percentile: float | Non
 def khop(seeds: DataFrame, pairs: DataFrame, degreed: DataFrame, depth: int) -> DataFrame:
     """id and hop of what is reached from seeds (id) within depth. Nodes at or over the hub
     degree are reached but not gone through, seeds excepted."""
-    around = adjacency(pairs)
+    around = checkpointed(adjacency(pairs))  # read once a hop
     hub = F.broadcast(traversal_hub(degreed))  # one row
-    open_ = degreed.crossJoin(hub).where("degree < hub").select("id")
+    open_ = checkpointed(degreed.crossJoin(hub).where("degree < hub").select("id"))
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = seen.select("id")
     for hop in range(1, depth + 1):
