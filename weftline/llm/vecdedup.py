@@ -63,10 +63,14 @@ class Axes:
         return at
 
     def leaf(self, places: np.ndarray) -> np.ndarray:
+        """The leaf of each place: all go down the tree together, a level at a time."""
         node = np.full(len(places), 0 if self.cuts else -1)
-        for at, (axis, value, down, up) in enumerate(self.cuts):  # children come after their parents
-            here = np.nonzero(node == at)[0]
-            node[here] = np.where(places[here, axis] < value, down, up)
+        if not self.cuts:
+            return ~node
+        axis, value, down, up = (np.array(c) for c in zip(*self.cuts, strict=True))
+        while len(inner := np.nonzero(node >= 0)[0]):
+            at = node[inner]
+            node[inner] = np.where(places[inner, axis[at]] < value[at], down[at], up[at])
         return ~node
 
 
@@ -160,18 +164,22 @@ def _links(reps: DataFrame, n: int, threshold: float, leaf_rows: int, sample: in
         for batch in batches:
             p = place(batch)
             home = axes.leaf(p)
-            to = np.zeros((len(p), axes.leaves), bool)
-            for leaf in np.nonzero(np.isfinite(low[:, 0]))[0]:
-                away = np.maximum(0, np.maximum(low[leaf] - p, p - high[leaf]))
-                to[:, leaf] = (away**2).sum(1) <= reach**2
-            to[np.arange(len(p)), home] = True
-            row, leaf = np.nonzero(to)
-            for k in range(0, len(row), 20_000):
-                r, m = row[k : k + 20_000], leaf[k : k + 20_000]
-                h = home[r]
-                out = batch.take(pa.array(r))
-                more = [pa.array(np.minimum(h, m).astype(np.int32)), pa.array(np.maximum(h, m).astype(np.int32)), pa.array((h > m).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*out.columns, *more], ["rep", "n", "v", "a", "b", "side"])
+            step = max(1, 2_000_000 // axes.leaves)
+            for x in range(0, len(p), step):
+                q, h = p[x : x + step], home[x : x + step]
+                away = np.zeros((len(q), axes.leaves))
+                for d in range(q.shape[1]):  # squared distances to all boxes; an empty leaf's is endless
+                    c = q[:, d : d + 1]
+                    away += np.maximum(0, np.maximum(low[:, d][None, :] - c, c - high[:, d][None, :])) ** 2
+                to = away <= reach**2
+                to[np.arange(len(q)), h] = True
+                row, leaf = np.nonzero(to)
+                for k in range(0, len(row), 20_000):
+                    r, m = row[k : k + 20_000], leaf[k : k + 20_000]
+                    own = h[r]
+                    out = batch.take(pa.array(r + x))
+                    more = [pa.array(v.astype(np.int32)) for v in (np.minimum(own, m), np.maximum(own, m), own > m)]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *more], ["rep", "n", "v", "a", "b", "side"])
 
     def pair(key: tuple, t: pa.Table) -> pa.Table:
         a, b = key[0].as_py(), key[1].as_py()
