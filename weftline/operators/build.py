@@ -11,8 +11,11 @@ from .graph import IMPORT_FAMILY
 #: Fixed values.
 FILE_TYPES = ("code", "document", "paper", "image", "rationale", "concept")
 CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
-SYNONYMS = {"doc": "document", "docs": "document", "markdown": "document", "text": "document", "source": "code", "function": "code", "class": "code", "module": "code", "pdf": "paper", "img": "image", "picture": "image", "idea": "concept"}
-GENERIC = ("references", "uses", "imports", "imports_from", "contains")
+SYNONYMS = {
+    "markdown": "document", "text": "document", "tool": "code", "library": "code", "pattern": "concept", "principle": "concept", "constraint": "concept",
+    "tech": "concept", "technology": "concept", "data-source": "concept", "data_source": "concept", "gotcha": "concept", "framework": "concept",
+}
+GENERIC = ("references", "uses", "mentions")
 
 
 def heal_number(c: Column) -> Column:
@@ -27,9 +30,8 @@ def default_confidence(score: Column, confidence: Column) -> Column:
 
 
 def file_type(c: Column) -> Column:
-    low = F.lower(F.trim(c))
     known = F.create_map(*(F.lit(x) for kv in SYNONYMS.items() for x in kv))
-    return F.when(low.isin(*FILE_TYPES), low).otherwise(F.coalesce(F.try_element_at(known, low), F.lit("concept")))
+    return F.when(c.isin(*FILE_TYPES), c).otherwise(F.coalesce(F.try_element_at(known, c), F.lit("concept")))
 
 
 def fold(*names: Column) -> Column:

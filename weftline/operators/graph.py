@@ -18,7 +18,7 @@ JSON_NOISE = (
     "start end name id type properties value key data items title description version dependencies "
     "devdependencies peerdependencies optionaldependencies bundleddependencies bundledependencies"
 ).split()
-IMPORT_FAMILY = ("imports", "imports_from", "dynamic_import", "re_exports")
+IMPORT_FAMILY = ("imports", "imports_from", "re_exports")
 
 
 def simple(edges: DataFrame) -> DataFrame:

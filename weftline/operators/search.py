@@ -9,8 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
-CONTEXT_ALIASES = {"calls": "call", "imports": "import", "fields": "field", "parameters": "parameter_type", "parameter": "parameter_type", "params": "parameter_type", "returns": "return_type", "generics": "generic_arg", "attributes": "attribute", "exports": "export"}
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with")
+CONTEXT_ALIASES = {
+    "param": "parameter_type", "params": "parameter_type", "parameter": "parameter_type", "parameters": "parameter_type", "argument": "parameter_type",
+    "arguments": "parameter_type", "arg": "parameter_type", "args": "parameter_type", "return": "return_type", "returns": "return_type", "returned": "return_type",
+    "generic": "generic_arg", "generics": "generic_arg", "template": "generic_arg", "templates": "generic_arg", "annotation": "attribute", "annotations": "attribute",
+    "decorator": "attribute", "decorators": "attribute", "calls": "call", "called": "call", "invoke": "call", "invocation": "call", "fields": "field",
+    "property": "field", "properties": "field", "member": "field", "members": "field", "imports": "import", "imported": "import", "module": "import",
+    "modules": "import", "exports": "export", "exported": "export",
+}
+STOP_WORDS = frozenset(
+    "how what why when where which who whom whose does did is are was were be been being can could should would will shall may might must has have had "
+    "the and but not for from with without into onto off that this these those there here its their them they about any all some work works working "
+    "der die das den dem ein eine und oder nicht wie wer wann wo warum wieso welche welcher welches ist sind wird wurde hat haben kann koennen können soll "
+    "muss sich bei mit von fuer für ueber über nach aus gibt es funktioniert geaendert geändert aendert ändert "
+    "pourquoi quand quel quelle quels quelles quoi qui que est sont fonctionne cette dans avec où "
+    "cómo como qué cuál cuáles cuándo dónde donde porque por para funciona está están hay "
+    "qual quais quando onde são estão tem uma não perché cosa quale quali dove funziona sono che della".split()
+)
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
 
 

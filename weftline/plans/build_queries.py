@@ -36,7 +36,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kg(""", e AS (SELECT *, least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE NOT (src = dst AND relation = 'imports_from')),
  f AS (SELECT *, min(src) OVER (PARTITION BY u, v, relation) AS first_src FROM e),
  g AS (SELECT *, count(*) OVER (PARTITION BY u, v) AS n_edges, row_number() OVER (PARTITION BY u, v ORDER BY
-   CASE WHEN relation IN ('references', 'uses', 'imports', 'imports_from', 'contains') THEN 0 ELSE 1 END DESC, src DESC, dst DESC, relation DESC, weight DESC, coalesce(source_location, '') DESC, confidence DESC) AS k
+   CASE WHEN relation IN ('references', 'uses', 'mentions') THEN 0 ELSE 1 END DESC, src DESC, dst DESC, relation DESC, weight DESC, coalesce(source_location, '') DESC, confidence DESC) AS k
    FROM f WHERE src = first_src)
  SELECT u, v, src, dst, relation, confidence, weight, n_edges FROM g WHERE k = 1"""),
 )
@@ -76,12 +76,12 @@ def normalize_edges_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "file_type_normalize",
-    """WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Code' WHEN 1 THEN 'docs' WHEN 2 THEN NULL WHEN 3 THEN 'gadget' WHEN 4 THEN ' pdf ' ELSE 'concept' END AS raw FROM part)
- SELECT p_partkey, CASE lower(trim(raw)) WHEN 'code' THEN 'code' WHEN 'docs' THEN 'document' WHEN 'pdf' THEN 'paper' ELSE 'concept' END AS file_type FROM t""",
+    """WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'code' WHEN 1 THEN 'markdown' WHEN 2 THEN NULL WHEN 3 THEN 'gadget' WHEN 4 THEN 'tool' ELSE 'concept' END AS raw FROM part)
+ SELECT p_partkey, CASE raw WHEN 'code' THEN 'code' WHEN 'markdown' THEN 'document' WHEN 'tool' THEN 'code' ELSE 'concept' END AS file_type FROM t""",
 )
 def file_type_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 6
-    raw = F.when(k == 0, "Code").when(k == 1, "docs").when(k == 2, None).when(k == 3, "gadget").when(k == 4, " pdf ").otherwise("concept")
+    raw = F.when(k == 0, "code").when(k == 1, "markdown").when(k == 2, None).when(k == 3, "gadget").when(k == 4, "tool").otherwise("concept")
     return table(spark, sf_dir, "part").select("p_partkey", B.file_type(raw).alias("file_type"))
 
 
