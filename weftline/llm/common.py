@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "table", "usable_vector"]
+__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "table", "tidy", "usable_vector"]
 
 #: A word is a longest run of anything but these six characters (a Java regex class).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +41,11 @@ def matrix(column) -> np.ndarray:
         column = column.chunk(0)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def tidy() -> None:
+    """Gives memory that is free again back to the system, which a worker that lives on would
+    keep: Arrow's pool and, where there is one, the C library's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -13,13 +13,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK, LONGEST, SHORT = "▁", 10, 32
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -51,11 +52,15 @@ def letter_runs(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     code = flat.indices.to_numpy().astype(np.int64)
     run = np.array(first, np.int64)[code] if first else np.zeros(0, np.int64)
     doc_of, run_of = [doc[run >= 0]], [run[run >= 0]]
-    if extra:
-        more = pd.DataFrame(extra, columns=["w", "r"])
-        found = pd.DataFrame({"w": code, "d": doc}).loc[np.isin(code, more["w"].unique())].merge(more, on="w")
-        doc_of.append(found["d"].to_numpy())
-        run_of.append(found["r"].to_numpy())
+    if extra:  # in order of their words
+        word_of, more = np.array(extra, np.int64).T
+        n = np.bincount(word_of, minlength=len(first))
+        start = np.cumsum(n) - n
+        at = np.nonzero(n[code])[0]
+        again = np.repeat(at, n[code[at]])
+        place = np.arange(len(again)) - np.repeat(np.cumsum(n[code[at]]) - n[code[at]], n[code[at]])
+        doc_of.append(doc[again])
+        run_of.append(more[start[code[again]] + place])
     return list(numbers), np.concatenate(run_of), np.concatenate(doc_of)
 
 
@@ -68,7 +73,7 @@ class PieceTable:
     """Numbers of pieces by hash, for many parts of texts at once: two open tables, keys kept
     whole; a seed is taken under which all pieces find a place."""
 
-    BITS = 20
+    BITS = 19
 
     def __init__(self, pieces: dict[str, int]) -> None:
         for seed in range(1, 100):
@@ -189,7 +194,7 @@ class Segmenter:
 
 
 class Identifier:
-    MEMO = 200_000
+    MEMO = 100_000
 
     def __init__(self, langs: list[str], pieces: dict[str, int], p: np.ndarray) -> None:
         self.langs, self.segmenter, self.p = langs, Segmenter(pieces), p
@@ -221,6 +226,7 @@ class Identifier:
             langs += some[0]
             scores.append(some[1])
             at = to
+            tidy()
         return langs, np.concatenate(scores or [np.zeros(0)])
 
     def _predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -285,10 +291,10 @@ def identify(
         fit(docs, learns, vocab_path, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang, rounds=rounds)
     )
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = model.value.predict(pa.array(texts, pa.string(), from_pandas=True))
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        langs, scores = model.value.predict(texts)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, predicted(F.col(text_col)).alias("_predicted")).select(*kept, "_predicted.lang_pred", "_predicted.score")

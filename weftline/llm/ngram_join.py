@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 from .components import components, smallest_reachable
 
 TREES, DEPTH = 32, 8
@@ -174,6 +174,7 @@ def near_texts(
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 yield sketches(batch.slice(at, 1000), words, depth)
+            tidy()
 
     drawn = checkpointed(rows.where("id is not null and text is not null").mapInArrow(sketch, SKETCH))
     reps = checkpointed(drawn.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
@@ -207,6 +208,7 @@ def near_texts(
                 same = (pair[order][1:] == pair[order][:-1]) & (rolled[order][1:] == rolled[order][:-1])
                 common = np.bincount(pair[order][1:][same], minlength=m)
                 yield batch.select(["rep_a", "rep_b", "n_a", "n_b"]).filter(pa.array(is_near(common, n[:m], n[m:], threshold)))
+            tidy()
 
     linked = checkpointed(both.mapInArrow(verify, "rep_a long, rep_b long, n_a long, n_b long"))
     counted = linked.select(F.col("rep_a").alias("rep"), F.col("n_b").alias("links"), F.col("rep_b").alias("other")).union(

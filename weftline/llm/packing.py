@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_id long"
 
 
@@ -188,8 +190,11 @@ def pack_documents(
                 size += len(found)
                 if size >= block_tokens:
                     yield flush()
+                    tidy()
         if ids:
             yield flush()
+        del tokenizer
+        tidy()
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +130,13 @@ def candidates(text: str) -> list[dict]:
 
 
 def candidate_spans(text: Column) -> Column:
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: candidates(t or ""))
+    fields = [pa.field(n, t) for n, t in zip(("kind", "start", "end", "base", "votes", "shape"), (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()), strict=True)]
+    kind = pa.list_(pa.struct(fields))
 
-    return F.pandas_udf(found, CANDIDATES)(text)
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array((candidates(t.as_py() or "") for t in texts), kind, size=len(texts))
+
+    return F.arrow_udf(found, CANDIDATES)(text)
 
 
 @dataclass
@@ -198,8 +201,8 @@ def fit(cands: DataFrame, column: str = "candidates") -> Model:
 def accepted(column: Column, model: Model) -> Column:
     """The candidates that are strict matches or that the classifier accepts, in order."""
 
-    @F.pandas_udf("array<boolean>")
-    def judged(rows: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<boolean>")
+    def judged(rows: pa.Array) -> pa.Array:
         memo: dict[tuple, bool] = {}
 
         def one(c: dict) -> bool:
@@ -208,7 +211,7 @@ def accepted(column: Column, model: Model) -> Column:
                 memo[key] = model.chance(*key) >= 0.5
             return bool(c["base"]) or memo[key]
 
-        return rows.map(lambda r: [one(c) for c in r])
+        return pa.array(([one(c) for c in r.as_py()] for r in rows), pa.list_(pa.bool_()), size=len(rows))
 
     return F.transform(F.filter(F.arrays_zip(column.alias("c"), judged(column).alias("ok")), lambda z: z["ok"]), lambda z: z["c"])
 
@@ -230,8 +233,8 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     overlap are replaced as one, under the first one's kind. Null texts stay null."""
     model = fit(docs.select(candidate_spans(F.col(text_col)).alias("candidates")))
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
         def one(text: str | None) -> str | None:
             if not text:
                 return text
@@ -243,6 +246,6 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                     at = max(at, c["end"])
             return "".join([*out, text[at:]])
 
-        return texts.map(one)
+        return pa.array((one(t.as_py()) for t in texts), pa.string(), size=len(texts))
 
     return docs.withColumn(text_col, masked(F.col(text_col)))
