@@ -35,6 +35,20 @@ def test_communities_cover_all_nodes_once(spark, sf_dir):
     assert -0.5 <= community.modularity(found, pairs).first()[0] <= 1
 
 
+def test_louvain_finds_cliques(spark):
+    from weftline.operators import community
+
+    cliques = [(f"{c}{i}", f"{c}{j}") for c in "abcd" for i in range(6) for j in range(i)]
+    bridges = [("a0", "b0"), ("b1", "c1"), ("c2", "d2"), ("d3", "a3")]
+    pairs = spark.createDataFrame(cliques + bridges, "u string, v string")
+    found = community.louvain(pairs)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["community"], set()).add(r["id"][0])
+    assert sorted(len(g) for g in groups.values()) == [1, 1, 1, 1]
+    assert community.modularity(found, pairs).first()[0] > 0.6
+
+
 def test_remap_keeps_old_ids(spark, sf_dir):
     got = {r["community"]: r["stable"] for r in registry.QUERIES["remap_previous"](spark, sf_dir).collect()}
     assert got == {k: (k - 2) % 5 for k in range(5)}
