@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "table", "tidy", "usable_vector"]
+__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "sampled", "table", "tidy", "usable_vector"]
 
 #: A word is a longest run of anything but these six characters (a Java regex class).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,15 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def sampled(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About n of the rows, picked by a hash of the keys; of rows that repeat all keys one at
+    most. What isn't picked is left out where it is read, so little more than n rows move."""
+    h = F.xxhash64(*keys, F.lit("sample"))
+    share = min(1.0, n / max(1, rows.count()))
+    picked = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + (share >= 1))
+    return picked.withColumn("_picked", h).dropDuplicates(["_picked"]).drop("_picked")
+
+
 def usable_vector(column: Column) -> Column:
     """Whether an array has components, none of them null or not finite."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
