@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, matrix, usable_vector
+from .common import checkpointed, matrix, sampled, usable_vector
 from .components import components, smallest_reachable
 
 SLACK = 1e-9
@@ -133,8 +133,10 @@ def compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, vectors: np.nd
 def _links(reps: DataFrame, n: int, threshold: float, leaf_rows: int, sample: int, lead: int) -> DataFrame:
     """rep, links, other: link counts (other null) and edges (links 0) of vectors of one length."""
     spark = reps.sparkSession
-    drawn = reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample).select("v").toArrow()["v"]
-    axes = Axes(matrix(drawn).astype(np.float64), math.ceil(n / leaf_rows), lead)
+    drawn = matrix(sampled(reps.select("rep", "v"), sample, "rep").toArrow().sort_by("rep")["v"]).astype(np.float64)
+    if not len(drawn):  # so few vectors that none was picked
+        drawn = matrix(reps.limit(1).select("v").toArrow()["v"]).astype(np.float64)
+    axes = Axes(drawn, math.ceil(n / leaf_rows), lead)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
 
     def place(batch: pa.RecordBatch) -> np.ndarray:
@@ -215,7 +217,7 @@ def near_vectors(
     link with nothing: they are their own component. Vectors of different lengths don't link.
     Equal vectors are compared once and count as often as they occur; rows that repeat an id
     are rows of their own. An empty table gives no rows; other columns are ignored. The axes
-    come from at most `sample` vectors (the smallest by hash of id), and only decide what is
+    come from about `sample` vectors (picked by hash of id), and only decide what is
     compared when; all vectors that could be linked are compared.
     """
     vector = F.col(vector_col)
