@@ -282,8 +282,7 @@ def extracted_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.centrality import betweenness
 
-    inner = edges(spark, sf_dir).where("relation = 'references'")
-    return betweenness(G.simple(inner))
+    return betweenness(G.simple(edges(spark, sf_dir)))
 
 
 @query("split_oversized", None)
