@@ -58,3 +58,42 @@ def test_betweenness_of_a_table_without_edges(spark):
 
     assert betweenness(spark.createDataFrame([], "u string, v string")).count() == 0
     assert betweenness(spark.createDataFrame([("a", "a")], "u string, v string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["detected_communities", "louvain_communities"])
+def test_communities_cover_every_node(name, spark, sf_dir):
+    from weftline.plans.kgview import nodes
+
+    found = registry.QUERIES[name](spark, sf_dir)
+    assert sorted(r["id"] for r in found.select("id").collect()) == sorted(r["id"] for r in nodes(spark, sf_dir).select("id").collect())
+
+
+def test_split_sees_all_relations(spark, sf_dir):
+    """Each node of a large community gets a part, and parts hold together by edges of any relation."""
+    from weftline.operators import community
+    from weftline.plans.kgview import nodes
+
+    members = nodes(spark, sf_dir).select("id", "community")
+    want = community.split_large(members, graph.simple(edges(spark, sf_dir)))
+    got = registry.QUERIES["split_oversized"](spark, sf_dir)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_nodes_without_edges_are_communities(spark):
+    from weftline.operators import community
+
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "u string, v string")
+    ids = spark.createDataFrame([(k,) for k in "abcde"], "id string")
+    for found in (community.propagate(pairs, ids=ids), community.louvain(pairs, ids=ids)):
+        got = dict(found.collect())
+        assert got["d"] == 1 and got["e"] == 2 and got.keys() == set("abcde")
+
+
+def test_split_gives_lone_members_parts(spark):
+    from weftline.operators import community
+
+    members = spark.createDataFrame([(f"n{i:02}", 0) for i in range(12)] + [("x", 1)], "id string, community int")
+    pairs = spark.createDataFrame([("n00", "n01"), ("n02", "x")], "u string, v string")
+    got = {r["id"]: r["part"] for r in community.split_large(members, pairs).collect()}
+    assert got.pop("x") is None and got["n00"] == got["n01"] is not None
+    assert len(set(got.values())) == 11 and None not in got.values()

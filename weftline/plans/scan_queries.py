@@ -288,5 +288,4 @@ def node_betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("split_oversized", None)
 def split_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities with over a quarter of all nodes, detected again within themselves."""
-    pairs = G.simple(edges(spark, sf_dir).where("relation in ('imports_from', 'uses')"))
-    return C.split_large(nodes(spark, sf_dir).select("id", "community"), pairs)
+    return C.split_large(nodes(spark, sf_dir).select("id", "community"), G.simple(edges(spark, sf_dir)))
