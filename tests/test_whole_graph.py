@@ -97,3 +97,16 @@ def test_split_gives_lone_members_parts(spark):
     got = {r["id"]: r["part"] for r in community.split_large(members, pairs).collect()}
     assert got.pop("x") is None and got["n00"] == got["n01"] is not None
     assert len(set(got.values())) == 11 and None not in got.values()
+
+
+def test_remap_follows_long_chains(spark):
+    """Each round can settle one pair only: new i overlaps old 50 - i, and old 51 - i a little more."""
+    from weftline.operators import community
+
+    rows = []
+    for i in range(15):
+        rows += [(f"{i}-{k}", i, 50 - i) for k in range(40 - 2 * i)]
+        rows += [(f"{i}+{k}", i, 51 - i) for k in range(41 - 2 * i)] if i else []
+    both = spark.createDataFrame(rows, "id string, new int, old int")
+    got = community.remap(both.selectExpr("id", "new as community"), both.selectExpr("id", "old as community"))
+    assert dict(got.collect()) == {i: 50 - i for i in range(15)}
