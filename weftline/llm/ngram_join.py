@@ -1,10 +1,9 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding.
 
 A document is its set of five-word shingles. Equal sets are one class and compared once.
-Each class has TREES signatures of DEPTH minimum hashes; a tree is the sorted trie of one
-signature over all classes. Two classes are candidates if they share a prefix in any tree.
-Prefixes are shortened from the full depth until pairs at the threshold are met with the
-target recall; the depth where that happens follows from threshold, trees and target.
+Each class has TREES signatures of DEPTH minimum hashes; the first `depth` hashes of each are
+one key. Two classes are candidates if they share a key in any tree. The depth is fixed before
+data is read: the longest at which pairs at the threshold are met with the target recall.
 Candidates are verified exactly, on the shingles of the whole texts.
 
 A trie node with few classes gives its pairs. The classes of crowded nodes are joined into
