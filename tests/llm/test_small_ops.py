@@ -209,6 +209,27 @@ def test_tokenizers_agree(spark, sf_dir):
     fast = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
         assert fast.ids(r["text"]).tolist() == slow.encode(r["text"], add_special_tokens=False).ids
+    for text in ("a<|endoftext|>b", "a <|endoftext|>  b<|endoftext|><|endoftext|>\n\nx", "it's<|endoftext|>'s <|endoftext"):
+        assert fast.ids(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+    assert fast.ids("a<|endoftext|>b").tolist() == [64, 50256, 65]
+
+
+def test_each_tier_is_packed():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 4000, 4000).tolist()
+    out = packing.pack(lengths, 2048, 8)
+    share = {size: sum(1 for s, _ in out if s == size) for size in (2048, 1024, 512, 256, 128)}
+    assert min(share.values()) > 10
+    short = packing.pack(rng.integers(1, 500, 4000).tolist(), 2048, 8)
+    assert {s for s, _ in short[:100]} == {512} and sum(s for s, _ in short) - sum(p[2] for _, x in short for p in x) == 0
+    assert sum(s - sum(p[2] for p in pieces) for s, pieces in out) < 8 * len(out)
+    assert all(sum(p[2] for p in pieces) == s for s, pieces in out if s < 2048)
+    parts = sorted(p for _, pieces in out for p in pieces)
+    ends: dict[int, int] = {}
+    for doc, start, length in parts:
+        assert ends.get(doc, 0) == start
+        ends[doc] = start + length
+    assert ends == dict(enumerate(lengths))
 
 
 def test_chat_query_digest(spark, sf_dir):

@@ -1,16 +1,18 @@
 """Hierarchical multi-length packing.
 
 Documents become token ids. Whole windows are cut off long documents; what remains of each
-is routed to the tier of the smallest context size that holds it. Tiers are packed from the
-longest down: a window opens with the longest document left, is filled with the longest
-ones of any shorter tier that fit, and its last gap takes a piece cut off the next. What
-can't fill a window at the end goes to windows of the smaller context sizes, each filled
-whole. Sequences are dealt to step groups so that their attention costs are even.
+is routed to the tier of the smallest context size that holds it. Each tier is packed into
+windows of its own context size, from the longest tier down: a window opens with the tier's
+longest document, its gap is filled with the longest ones of any shorter tier that fit, and
+the last bit with a piece cut off the next. What can't fill a window at the end goes to
+full windows of smaller powers of two. Sequences of all tiers are dealt to step groups so
+that their attention costs are even.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -26,7 +28,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE file; texts that the fast path can't take go to the slow one."""
+    """Ids of a byte-level BPE file; its special strings in a text are their tokens. Texts that
+    the fast library gives up on (it panics on some very long runs) go to the slow one."""
 
     def __init__(self, ranks: str, pattern: str, slow: str) -> None:
         import base64
@@ -35,21 +38,22 @@ class Tokenizer:
 
         with open(ranks, "rb") as lines:
             found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=found, special_tokens={})
+        with open(slow, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=found, special_tokens=special)
         self.path, self.slow = slow, None
 
     def ids(self, text: str) -> np.ndarray:
         try:
-            return np.asarray(self.fast.encode_to_numpy(text), dtype=np.uint32)
-        except (SystemExit, KeyboardInterrupt, MemoryError):
-            raise
-        except BaseException:  # the library panics on some very long runs of one class
-            if self.slow is None:
-                from tokenizers import Tokenizer as Slow
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # the library's own; it has no importable name
+                raise
+        if self.slow is None:
+            from tokenizers import Tokenizer as Slow
 
-                self.slow = Slow.from_file(self.path)
-                self.slow.encode_special_tokens = True
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            self.slow = Slow.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def tier_of(length: int, window: int, smallest: int) -> int:
@@ -60,62 +64,74 @@ def tier_of(length: int, window: int, smallest: int) -> int:
     return size
 
 
-def pack(lengths: list[int], window: int, min_piece: int, smallest: int = 128) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """Sequences as (context size, pieces), a piece as (document, start, length).
-
-    Every id lies in one piece. A window may keep a gap below min_piece; the windows of the
-    tail are powers of two and full.
-    """
-    out: list[tuple[int, list[tuple[int, int, int]]]] = []
-    tiers: dict[int, list[tuple[int, int, int]]] = {}  # context size: (length, -document, start), ascending
-    for doc, length in enumerate(lengths):
-        start = 0
-        while length - start >= window:
-            out.append((window, [(doc, start, window)]))
-            start += window
-        if length > start:
-            tiers.setdefault(tier_of(length - start, window, smallest), []).append((length - start, -doc, start))
-    sizes = sorted(tiers, reverse=True)
-    for items in tiers.values():
-        items.sort()
-    left = sum(x[0] for items in tiers.values() for x in items)
-
-    def longest(gap: int) -> tuple[int, int, int] | None:
-        """Takes the longest document of at most gap ids."""
-        for size in sizes:
-            items = tiers[size]
-            if items and items[0][0] <= gap:
+class Tiers:
+    """What is left to pack: (length, -document, start) by context size, shortest first."""
+
+    def __init__(self, sizes: list[int], window: int, lengths: list[int]) -> None:
+        self.sizes = sizes  # the longest first
+        self.items: dict[int, list[tuple[int, int, int]]] = {s: [] for s in sizes}
+        for doc, length in enumerate(lengths):
+            if rest := length % window:
+                self.items[tier_of(rest, window, sizes[-1])].append((rest, -doc, length - rest))
+        for items in self.items.values():
+            items.sort()
+        self.left = sum(x[0] for items in self.items.values() for x in items)
+
+    def longest(self, gap: int, size: int, kept: dict[int, int]) -> tuple[int, int, int] | None:
+        """Takes the longest document of at most gap ids; longer windows leave a tier what it keeps."""
+        for s in self.sizes:
+            items = self.items[s]
+            if len(items) > (kept[s] if s < size else 0) and items[0][0] <= gap:
                 return items.pop(bisect.bisect_right(items, (gap, 1, 0)) - 1)
         return None
 
-    def fill(room: int, spare: int) -> list[tuple[int, int, int]]:
-        pieces = []
-        while room > spare:
-            found = longest(room)
-            if found is None:  # all that is left is longer than the gap: cut the shortest
-                size = next(s for s in reversed(sizes) if tiers[s])
-                length, doc, start = tiers[size].pop(0)
-                pieces.append((-doc, start, room))
-                rest = length - room
-                bisect.insort(tiers.setdefault(size, []), (rest, doc, start + room))
-                return pieces
-            length, doc, start = found
+    def cut(self, room: int, size: int) -> tuple[int, int, int]:
+        """Cuts at most room ids off the longest document for windows of size or less (else the
+        next longer); the rest goes to its tier."""
+        at = self.sizes.index(max(size, self.sizes[-1]))
+        length, doc, start = next(self.items[s] for s in [*self.sizes[at:], *reversed(self.sizes[:at])] if self.items[s]).pop()
+        took = min(room, length)
+        if took < length:
+            bisect.insort(self.items[tier_of(length - took, self.sizes[0], self.sizes[-1])], (length - took, doc, start + took))
+        return took, doc, start
+
+    def fill(self, size: int, spare: int, kept: dict[int, int]) -> list[tuple[int, int, int]]:
+        """The pieces (document, start, length) of a window: its tier's longest document, the
+        longest ones that fit, then pieces cut to what room is left, unless that is at most spare."""
+        pieces, room = [], size
+        while room > spare and self.left:
+            own = self.items.get(size)
+            length, doc, start = own.pop() if own and not pieces else self.longest(room, size, kept) or self.cut(room, size)
             pieces.append((-doc, start, length))
             room -= length
+            self.left -= length
         return pieces
 
-    while left >= window:
-        pieces = fill(window, min_piece - 1)
-        left -= sum(p[2] for p in pieces)
-        out.append((window, pieces))
-    size = window
-    while left:
-        if left < size:
+
+def pack(lengths: list[int], window: int, min_piece: int, smallest: int = 128, keep: float = 0.25) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Sequences as (context size, pieces), a piece as (document, start, length).
+
+    Every id lies in one piece. Each tier is packed into windows of its own context size, from
+    the longest down; a window opens with the longest document of its tier. Longer windows
+    leave each tier the share keep of its documents. Only windows of the longest size may
+    keep a gap, below min_piece; all others are powers of two and full. Of documents of one
+    length the first comes first.
+    """
+    sizes = [window]
+    while sizes[-1] // 2 >= smallest:
+        sizes.append(sizes[-1] // 2)
+    out = [(window, [(doc, start, window)]) for doc, length in enumerate(lengths) for start in range(0, length - window + 1, window)]
+    tiers = Tiers(sizes, window, lengths)
+    kept = {s: int(keep * len(items)) for s, items in tiers.items.items()}
+    for size in sizes:
+        while tiers.items[size] and tiers.left >= size:
+            out.append((size, tiers.fill(size, min_piece - 1 if size == window else 0, kept)))
+    size, none = window, dict.fromkeys(sizes, 0)
+    while tiers.left:  # less than a window of the tier: full windows of smaller powers of two
+        if tiers.left < size:
             size //= 2
-            continue
-        pieces = fill(size, 0)
-        left -= size
-        out.append((size, pieces))
+        else:
+            out.append((size, tiers.fill(size, 0, none)))
     return out
 
 
@@ -150,8 +166,9 @@ def pack_documents(
     packed by itself in blocks of block_tokens ids, so nothing is shuffled and memory is
     bounded; a document over that is a block of its own. Documents keep their order in
     blocks; a task that runs again over the same stored rows gives the same sequences. Ids of
-    documents may repeat or be null; such rows are packed like any other. An empty table
-    gives no rows; other columns are ignored.
+    documents may repeat or be null; such rows are packed like any other. Of documents of one
+    length the first in the partition is packed first. An empty table gives no rows; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
