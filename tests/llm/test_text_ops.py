@@ -30,7 +30,7 @@ def brute_log_p(run, pieces, p):
     if not run:
         return 1.0
     total = 0.0
-    for n in range(1, min(langid.LONGEST, len(run)) + 1):
+    for n in range(1, len(run) + 1):
         k = pieces.get(run[:n], -1 if n > 1 else 0)
         if k >= 0:
             total += p[k] * brute_log_p(run[n:], pieces, p)
@@ -44,16 +44,47 @@ def test_forward_sums_all_segmentations():
     p /= p.sum(0)
     p[-1] = 0
     s = langid.Segmenter(pieces)
-    runs = ["the", "école", "straße", "zzzyx", "a", "ж"]
+    runs = ["the", "école", "straße", "zzzyx", "a", "ж", "information", "development"]
+    assert s.longest == max(map(len, pieces)) > 10 and "▁development" in pieces
     got = s.log_p(runs, p)
     for r, row in zip(runs, got):
         for k in range(2):
             assert row[k] == pytest.approx(math.log(brute_log_p(langid.MARK + r, pieces, p[:, k])))
     long = "abcdefghij" * 4
-    assert s.long_log_p(langid.MARK + "thenation", p) == pytest.approx(s.log_p(["thenation"], p)[0])
+    assert s.long_sums(s.ending(langid.MARK + "thenation"), p)[-1] == pytest.approx(s.log_p(["thenation"], p)[0])
     assert np.isfinite(s.log_p([long * 100], p)).all()
 
 
+def test_long_runs_are_learnt_from_like_short_ones(monkeypatch):
+    pieces = langid.vocabulary(VOCAB)
+    s = langid.Segmenter(pieces)
+    runs, counts = ["thenation", "dieschule", "of", "information"], np.array([[3.0, 0], [1, 4], [2, 0], [1, 1]])
+    short = s.fit(runs, counts, 2)
+    monkeypatch.setattr(langid, "SHORT", 1)  # all are long ones now
+    assert np.allclose(s.fit(runs, counts, 2), short)
+
+
+def test_language_id_rejects_junk(spark, sf_dir):
+    """Real texts keep a score, the same with letters shuffled lose it; in the pipeline these go."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null").collect()
+    rng = np.random.default_rng(1)
+    mixed = [(-1 - r["doc_id"], " ".join(langid.shuffled(x, rng)), None, r["source"], 0) for r in rows if len("".join(x := langid.LETTERS.findall(r["text"].lower()))) > 100]
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    both = real.unionByName(spark.createDataFrame(mixed, DOC).select(real.columns))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, sf_dir).select("doc_id").collect()}
+    assert {r["doc_id"] for r in rows} <= kept
+    assert sum(m[0] in kept for m in mixed) <= 0.01 * len(mixed)
+
+
+def test_language_id_ties_and_clashing_names(spark):
+    rows = [(i, "otto anna", lang, "s") for i, lang in enumerate(["b", "a"] * 10)]
+    df = docs(spark, rows).withColumn("found", F.lit(1)).withColumn("lang_pred", F.lit(2)).withColumn("_picked", F.lit(3)).withColumn("a.b", F.lit(4))
+    out = langid.identify(df, F.lit(True), vocab_path=VOCAB)
+    assert [c for c in out.columns if c == "found"] == ["found"] and {r["lang_pred"] for r in out.collect()} == {"a"}
+
+
 def test_language_id_on_held_out(spark, sf_dir):
     got = queries.op2_language_id(spark, sf_dir)
     both = got.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")

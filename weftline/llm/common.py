@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "sampled", "table", "tidy", "usable_vector"]
+__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "quoted", "sampled", "table", "tidy", "unused", "usable_vector"]
 
 #: A word is a longest run of anything but these six characters (a Java regex class).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,19 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, with as many underscores before it as none of the columns has (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def sampled(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """About n of the rows, picked by a hash of the keys; of rows that repeat all keys one at
     most. What isn't picked is left out where it is read, so little more than n rows move."""

@@ -5,6 +5,10 @@ letters, with a mark before it, is generated by any sequence of pieces that spel
 forward algorithm sums over all of them. Piece probabilities are fitted by expectation
 maximisation on labelled documents. A text's score is the sum over its runs, so each
 distinct run of a batch is segmented once.
+
+Beside the languages stands an outlier model, which draws letters one by one. How far the best
+language beats it, with the numbers of letters and runs, tells real text from junk; the
+weights of these three are fitted on labelled documents and the same with letters shuffled.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import quoted, tidy, unused
 
-MARK, LONGEST, SHORT = "▁", 10, 32
+MARK, SHORT = "▁", 32
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -33,7 +37,7 @@ def vocabulary(path: str) -> dict[str, int]:
     found = {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(piece) <= LONGEST:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             found.setdefault(piece, len(found) + 1)
     return found
 
@@ -64,11 +68,6 @@ def letter_runs(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(numbers), np.concatenate(run_of), np.concatenate(doc_of)
 
 
-def spans(n: int) -> list[tuple[int, int]]:
-    """Parts (start, end) of n characters, by end, none longer than LONGEST."""
-    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
-
-
 class PieceTable:
     """Numbers of pieces by hash, for many parts of texts at once: two open tables, keys kept
     whole; a seed is taken under which all pieces find a place."""
@@ -113,102 +112,167 @@ class PieceTable:
 
 class Segmenter:
     def __init__(self, pieces: dict[str, int]) -> None:
-        self.pieces = pieces
         self.table = PieceTable(pieces)
-
-    def grid(self, runs: list[str], n: int) -> np.ndarray:
-        """Piece numbers of all parts of runs of n characters, -1 for none: parts x runs."""
-        place = {(i, j): k for k, (i, j) in enumerate(spans(n))}
-        codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(len(runs), n).T.astype(np.uint64)
-        out = np.empty((len(place), len(runs)), np.int32)
-        for i in range(n):
-            h = np.zeros(len(runs), np.uint64)
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
+        self.size = len(pieces) + 2  # 0: any other character; the last: no piece
+        self.longest = max(map(len, pieces), default=1)
+
+    def parts(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Start, end and piece numbers (size - 1 for none) of the parts of runs of one length
+        that are a piece in some run, by end; codes: characters x runs."""
+        found = []
+        for i in range(len(codes)):
+            h = np.zeros(codes.shape[1], np.uint64)
+            for j in range(i + 1, min(len(codes), i + self.longest) + 1):
                 h = self.table.step(h, codes[j - 1])
-                out[place[i, j]] = self.table.get(h, -1 if j - i > 1 else 0)
-        return out
+                number = self.table.get(h, self.size - 1 if j - i > 1 else 0)
+                if j - i == 1 or (number < self.size - 1).any():
+                    found.append((i, j, number))
+        return sorted(found, key=lambda x: x[1])
 
-    def by_length(self, runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def by_length(self, runs: list[str]) -> Iterator[tuple[np.ndarray, list, int]]:
+        """Runs of fewer than SHORT letters: which, their parts, their length with the mark."""
         lengths = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
         for n in np.unique(lengths[lengths <= SHORT]):
             at = np.nonzero(lengths == n)[0]
             for k in range(0, len(at), 20_000):
                 some = at[k : k + 20_000]
-                yield some, self.grid([MARK + runs[i] for i in some], int(n)), int(n)
+                text = "".join(MARK + runs[i] for i in some).encode("utf-32-le")
+                yield some, self.parts(np.frombuffer(text, np.uint32).reshape(len(some), n).T.astype(np.uint64)), int(n)
 
     def log_p(self, runs: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each run (row) in each language (column); p: pieces x languages,
         its last row 0."""
         out = np.zeros((len(runs), p.shape[1]))
-        for at, grid, n in self.by_length(runs):
+        for at, parts, n in self.by_length(runs):
             alpha = np.zeros((n + 1, len(at), p.shape[1]))
             alpha[0] = 1
-            for k, (i, j) in enumerate(spans(n)):
-                alpha[j] += alpha[i] * p[grid[k]]
+            for i, j, number in parts:
+                alpha[j] += alpha[i] * p[number]
             out[at] = np.log(alpha[n])
         for r in (i for i, x in enumerate(runs) if len(x) + 1 > SHORT):
-            out[r] = self.long_log_p(MARK + runs[r], p)
+            out[r] = self.long_sums(self.ending(MARK + runs[r]), p)[-1]
+        return out
+
+    def ending(self, run: str) -> np.ndarray:
+        """For each end in a run of any length and each length from 1: the piece's number."""
+        codes = np.frombuffer(run.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        out = np.full((len(codes) + 1, self.longest), self.size - 1, np.int32)
+        h = np.zeros(len(codes), np.uint64)
+        for k in range(min(self.longest, len(codes))):
+            h = self.table.step(h[: len(codes) - k], codes[k:])
+            out[k + 1 :, k] = self.table.get(h, self.size - 1 if k else 0)
         return out
 
-    def long_log_p(self, run: str, p: np.ndarray) -> np.ndarray:
-        """The same for a run of any length: the last LONGEST sums are kept, scaled anew."""
-        recent, scale = [np.ones(p.shape[1])], np.zeros(p.shape[1])
-        for j in range(1, len(run) + 1):
-            now = np.zeros(p.shape[1])
-            for back in range(1, min(LONGEST, j) + 1):
-                piece = self.pieces.get(run[j - back : j], -1 if back > 1 else 0)
-                if piece >= 0:
-                    now += recent[-back] * p[piece]
-            recent = [*recent[1 - LONGEST :], now]
-            if j % 8 == 0:
-                top = recent[-1]
-                scale += np.log(top)
-                recent = [x / top for x in recent]
-        return scale + np.log(recent[-1])
+    @staticmethod
+    def long_sums(ending: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log of the forward sums at each end: (characters + 1) x languages."""
+        longest = ending.shape[1]
+        with np.errstate(divide="ignore"):
+            log = np.log(p)
+            sums = np.full((len(ending) - 1 + longest, p.shape[1]), -np.inf)  # longest - 1 before the start
+            sums[longest - 1] = 0
+            for j in range(1, len(ending)):
+                sums[longest - 1 + j] = np.logaddexp.reduce(sums[j - 1 : longest - 1 + j][::-1] + log[ending[j]], axis=0)
+        return sums[longest - 1 :]
+
+    def long_uses(self, run: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of all parts of a run of any length and how often each language uses them."""
+        ending = self.ending(run)
+        n, longest = len(ending) - 1, ending.shape[1]
+        ahead = self.long_sums(ending, p)
+        back = np.full((n + 1 + longest, p.shape[1]), -np.inf)  # longest after the end
+        back[n] = 0
+        with np.errstate(divide="ignore"):
+            log = np.log(p)
+        starting = np.full((n, longest), self.size - 1, np.int32)  # by start, not by end
+        for k in range(min(longest, n)):
+            starting[: n - k, k] = ending[k + 1 :, k]
+        for i in range(n - 1, -1, -1):
+            back[i] = np.logaddexp.reduce(back[i + 1 : i + 1 + longest] + log[starting[i]], axis=0)
+        i, k = np.nonzero(starting < self.size - 1)
+        number = starting[i, k]
+        return number, np.exp(ahead[i] + log[number] + back[i + k + 1] - ahead[n])
 
     def fit(self, runs: list[str], counts: np.ndarray, rounds: int, floor: float = 0.02) -> np.ndarray:
         """Piece probabilities by expectation maximisation; counts: runs x languages."""
-        size, langs = len(self.pieces) + 2, counts.shape[1]
+        size, langs = self.size, counts.shape[1]
         p = np.full((size, langs), 1 / size)
         p[-1] = 0
-        grids = list(self.by_length(runs))
+        short, long = list(self.by_length(runs)), [i for i, r in enumerate(runs) if len(r) + 1 > SHORT]
         for _ in range(rounds):
             expected = np.full((size, langs), floor)
-            for at, grid, n in grids:
+            for at, parts, n in short:
                 alpha, beta = np.zeros((n + 1, len(at), langs)), np.zeros((n + 1, len(at), langs))
                 alpha[0], beta[n] = 1, 1
-                parts = list(enumerate(spans(n)))
-                for k, (i, j) in parts:
-                    alpha[j] += alpha[i] * p[grid[k]]
-                for k, (i, j) in sorted(parts, key=lambda x: -x[1][1]):
-                    beta[i] += beta[j] * p[grid[k]]
+                for i, j, number in parts:
+                    alpha[j] += alpha[i] * p[number]
+                for i, j, number in reversed(parts):
+                    beta[i] += beta[j] * p[number]
                 weight = counts[at] / alpha[n]
-                for k, (i, j) in parts:
-                    use = alpha[i] * p[grid[k]] * beta[j] * weight
+                for i, j, number in parts:
+                    use = alpha[i] * p[number] * beta[j] * weight
                     for lang in range(langs):
-                        expected[:, lang] += np.bincount(np.where(grid[k] < 0, size - 1, grid[k]), use[:, lang], size)
+                        expected[:, lang] += np.bincount(number, use[:, lang], size)
+            for r in long:
+                number, use = self.long_uses(MARK + runs[r], p)
+                for lang in np.nonzero(counts[r])[0]:
+                    expected[:, lang] += counts[r, lang] * np.bincount(number, use[:, lang], size)
             expected[0] = expected[1:-1].sum(0) * 1e-6  # characters outside the vocabulary say nothing
             expected[-1] = 0
             p = expected / expected.sum(0)
         return p
 
 
+class Letters:
+    """The outlier model: letters drawn one by one, as often as in the runs learnt from."""
+
+    def __init__(self, runs: list[str], counts: np.ndarray) -> None:
+        codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        weight = np.repeat(counts, np.fromiter(map(len, runs), np.int64, len(runs)))
+        self.codes, at = np.unique(codes, return_inverse=True)
+        seen = np.bincount(at, weight, len(self.codes)) + 0.5
+        self.log = np.log(np.append(seen, 0.5) / (seen.sum() + 0.5))  # the last: any other letter
+
+    def log_p(self, runs: list[str]) -> np.ndarray:
+        if not runs:
+            return np.zeros(0)
+        codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        known = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        return np.add.reduceat(self.log[np.where(known, at, len(self.codes))], np.concatenate([[0], ends[:-1]]))
+
+
+def shuffled(runs: list[str], rng: np.random.Generator) -> list[str]:
+    """Runs of the same lengths, the letters of all shuffled."""
+    letters = list("".join(runs))
+    rng.shuffle(letters)
+    ends = np.cumsum([len(r) for r in runs])
+    return ["".join(letters[e - len(r) : e]) for r, e in zip(runs, ends, strict=True)]
+
+
 class Identifier:
     MEMO = 100_000
 
-    def __init__(self, langs: list[str], pieces: dict[str, int], p: np.ndarray) -> None:
-        self.langs, self.segmenter, self.p = langs, Segmenter(pieces), p
+    def __init__(self, langs: list[str], segmenter: Segmenter, p: np.ndarray, letters: Letters, weights: np.ndarray) -> None:
+        self.langs, self.segmenter, self.p, self.letters = langs, segmenter, p, letters
+        self.weights = weights  # of lead, letters, runs, one in the evidence that a text is real
         self.memo: dict[str, int] = {}
-        self.known = np.zeros((0, len(langs)))
+        self.known = np.zeros((0, len(langs) + 2))
+
+    def evidence(self, runs: list[str]) -> np.ndarray:
+        """Of each run: log probability in each language, under the outlier model, and its length."""
+        own = self.segmenter.log_p(runs, self.p)
+        return np.column_stack([own, self.letters.log_p(runs), np.fromiter(map(len, runs), float, len(runs))])
 
-    def log_p(self, runs: list[str], often: np.ndarray) -> np.ndarray:
-        """Of each run; those that occur more than once are remembered."""
+    def remembered(self, runs: list[str], often: np.ndarray) -> np.ndarray:
+        """evidence(); of runs that occur more than once it is remembered."""
         if len(self.memo) > self.MEMO:
             self.memo, self.known = {}, self.known[:0]
         at = np.fromiter((self.memo.get(r, -1) for r in runs), np.int64, len(runs))
         new = np.nonzero(at < 0)[0]
-        found = self.segmenter.log_p([runs[i] for i in new], self.p)
-        out = np.empty((len(runs), len(self.langs)))
+        found = self.evidence([runs[i] for i in new])
+        out = np.empty((len(runs), len(self.langs) + 2))
         out[at >= 0], out[new] = self.known[at[at >= 0]], found
         again = often[new] > 1
         self.memo.update({runs[i]: len(self.known) + k for k, i in enumerate(new[again])})
@@ -234,37 +298,81 @@ class Identifier:
         n = np.bincount(doc, minlength=len(texts))
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        each = self.log_p(runs, np.bincount(run, minlength=len(runs)))
-        total = np.stack([np.bincount(doc, each[run, k], len(texts)) for k in range(len(self.langs))], 1)
+        each = self.remembered(runs, np.bincount(run, minlength=len(runs)))
+        sums = np.stack([np.bincount(doc, each[run, k], len(texts)) for k in range(len(self.langs) + 2)], 1)
+        total = sums[:, :-2]
         scaled = (total - total.max(1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
         share = np.exp(scaled)
         share /= share.sum(1, keepdims=True)
         best = total.argmax(1)
-        return [self.langs[k] if m else "und" for k, m in zip(best, n, strict=True)], np.where(n > 0, share.max(1), 0.0)
+        real = 1 / (1 + np.exp(-np.clip(features(sums, n) @ self.weights, -500, 500)))
+        return [self.langs[k] if m else "und" for k, m in zip(best, n, strict=True)], np.where(n > 0, share.max(1) * real, 0.0)
+
+
+def features(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What speaks for a real text: the best language's lead over the outlier model, numbers of
+    letters and runs, and one."""
+    return np.column_stack([sums[:, :-2].max(1) - sums[:, -2], sums[:, -1], n, np.ones(len(n))])
+
+
+def calibrated(model: Identifier, texts: list[list[str]], odds: float) -> np.ndarray:
+    """Weights of the features: logistic regression on texts (lists of runs) and their beginnings
+    of 1, 2, 4, ... runs, against the same with letters shuffled; real texts count odds times."""
+    rng = np.random.default_rng(5)
+    tried: list[list[str]] = []  # real and shuffled ones in turn
+    for runs in texts:
+        n = 1
+        while runs:
+            tried += [runs[:n], shuffled(runs[:n], rng)]
+            if n >= len(runs) or n >= 64:
+                break
+            n *= 2
+    if not tried:
+        return np.zeros(4)
+    words, at = np.unique(np.array([r for t in tried for r in t], object), return_inverse=True)
+    each, text = model.evidence(words.tolist()), np.repeat(np.arange(len(tried)), [len(t) for t in tried])
+    sums = np.stack([np.bincount(text, each[at, k], len(tried)) for k in range(each.shape[1])], 1)
+    x, y = features(sums, np.bincount(text, minlength=len(tried))), 1.0 - np.arange(len(tried)) % 2
+    scale, w = np.abs(x).max(0) + 1e-9, np.zeros(4)
+    weight = np.where(y > 0, odds, 1.0) / len(y)
+    for _ in range(30):  # Newton steps on the slightly shrunk loss
+        z = np.clip((x / scale) @ w, -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        grad = (x / scale).T @ (weight * (y - p)) - 1e-4 * w
+        hess = (x / scale).T @ ((weight * p * (1 - p))[:, None] * (x / scale)) + 1e-4 * np.eye(4)
+        w = w + np.linalg.solve(hess, grad)
+    return w / scale
 
 
 def fit(
-    docs: DataFrame, learns: Column, vocab_path: str, *, id_col: str, text_col: str, lang_col: str, per_lang: int, rounds: int
+    docs: DataFrame, learns: Column, vocab_path: str, *, id_col: str, text_col: str, lang_col: str, per_lang: int, rounds: int, odds: float
 ) -> Identifier:
-    """Learns from about per_lang documents of each language, drawn by a hash of their id;
-    whole texts."""
+    """Learns from about per_lang documents of each language, drawn by a hash of id and text;
+    whole texts. About 100 of each also calibrate the score."""
     usable = docs.where(learns & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     langs = sorted(counts)
-    pieces = vocabulary(vocab_path)
+    segmenter = Segmenter(vocabulary(vocab_path))
     if not langs:
-        return Identifier([], pieces, np.zeros((1, 0)))
+        return Identifier([], segmenter, np.zeros((1, 0)), Letters([], np.zeros(0)), np.zeros(4))
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
     drawn = usable.where(place < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toArrow()
+    drawn = drawn.sort_by([("lang", "ascending"), ("text", "ascending")])
     seen: list[Counter] = [Counter() for _ in langs]
+    trial: list[list[str]] = []
     for k, lang in enumerate(langs):
         texts = drawn.filter(pc.equal(drawn["lang"], lang))["text"].combine_chunks()
-        runs, run, _ = letter_runs(texts)
+        runs, run, doc = letter_runs(texts)
         seen[k].update(dict(zip(runs, np.bincount(run, minlength=len(runs)).tolist(), strict=True)))
-    every = sorted({r for c in seen for r in c if len(r) < SHORT})
+        order = np.argsort(doc, kind="stable")
+        first = np.searchsorted(doc[order], np.arange(0, len(texts), max(1, len(texts) // 100)))
+        trial += [[runs[i] for i in run[order][a : a + 64][doc[order][a : a + 64] == doc[order][a]]] for a in first if a < len(doc)]
+    every = sorted({r for c in seen for r in c})
     table = np.array([[c.get(r, 0) for c in seen] for r in every], float).reshape(len(every), len(langs))
-    return Identifier(langs, pieces, Segmenter(pieces).fit(every, table, rounds))
+    model = Identifier(langs, segmenter, segmenter.fit(every, table, rounds), Letters(every, table.sum(1)), np.zeros(4))
+    model.weights = calibrated(model, trial, odds)
+    return model
 
 
 def identify(
@@ -277,24 +385,29 @@ def identify(
     lang_col: str = "lang",
     per_lang: int = 500,
     rounds: int = 4,
+    odds: float = 100.0,
+    pred_col: str = "lang_pred",
+    score_col: str = "score",
 ) -> DataFrame:
-    """docs with lang_pred (a learnt language, or und) and score (0 to 1) beside its columns.
+    """docs with pred_col (a learnt language, or und) and score_col (0 to 1) beside its columns.
 
     Only rows for which learns is true, with text and language, are learnt from. A null text
     or one without a letter is und with score 0, as is every text if nothing could be learnt;
     ties go to the first language by name. Texts of any length are scored whole; rows that
     repeat are predicted alike. score is the chance of the language predicted, tempered by
-    the root of the number of runs. An empty table stays empty. Columns of docs that are
-    called lang_pred or score are replaced.
+    the root of the number of runs, times the chance that the text is real and not junk, if
+    real texts are odds times as frequent. An empty table stays empty. Columns of docs of
+    these two names are replaced; any others stay.
     """
-    model = docs.sparkSession.sparkContext.broadcast(
-        fit(docs, learns, vocab_path, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang, rounds=rounds)
-    )
+    learnt = fit(docs, learns, vocab_path, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang, rounds=rounds, odds=odds)
+    model = docs.sparkSession.sparkContext.broadcast(learnt)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predicted(texts: pa.Array) -> pa.Array:
         langs, scores = model.value.predict(texts)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predicted(F.col(text_col)).alias("_predicted")).select(*kept, "_predicted.lang_pred", "_predicted.score")
+    kept = [quoted(c) for c in docs.columns if c.lower() not in (pred_col.lower(), score_col.lower())]
+    both = unused("found", docs.columns)
+    found = docs.select(*kept, predicted(F.col(text_col)).alias(both))
+    return found.select(*kept, F.col(both)["lang_pred"].alias(pred_col), F.col(both)["score"].alias(score_col))
