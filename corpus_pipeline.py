@@ -11,17 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, ngram_join, pii
-from weftline.llm.common import checkpointed, table
+from weftline.llm.common import checkpointed, quoted, table, unused
 from weftline.llm.queries import packed
 
-#: A text whose language is less likely than this is rejected.
-LEAST_SCORE = 0.4
+#: A text is rejected if this or less is the chance that it is real text of its language.
+LEAST_SCORE = 0.01
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those that fit no language well."""
-    found = langid.identify(docs, F.lit(True), vocab_path=public_tokenizers.path("piece_bpe_32k.model"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Drops texts without a letter and those that fit no language: null and empty texts, and
+    junk, which the letters' own frequencies explain better than any language does.
+
+    The same row always fares the same; columns of any name stay, ties between languages drop
+    nothing. An empty table stays empty; a table without any language named loses all rows.
+    """
+    lang, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
+    vocab = public_tokenizers.path("piece_bpe_32k.model")
+    found = langid.identify(docs, F.lit(True), vocab_path=vocab, pred_col=lang, score_col=score)
+    return found.where((F.col(lang) != "und") & (F.col(score) > LEAST_SCORE)).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
