@@ -289,6 +289,51 @@ def test_vectors_against_brute_force(spark):
     assert sorted((str(r["vec_id"]), r["n_links"]) for r in vecdedup.near_vectors(twice).collect()) == [("1", 1), ("1", 1), ("None", 0)]
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0001]), (3, [1.0, 0.0001]), (7, [1e-200, 0.0]), (8, [-1e200, 1e190])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vecdedup.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (7, 2, 1, False), (8, 0, 8, True)]
+
+
+def test_a_leaf_in_parts(spark):
+    """One leaf far over its size: all near each other, in many tasks."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.eye(8)[0] + rng.normal(size=8) * 0.01).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vecdedup.near_vectors(df, leaf_rows=5, sample=3).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(199, 0)}
+
+
+def test_texts_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(40)]
+    y, x = " ".join(words), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, y, None, "s"), (1, x, None, "s"), (2, f"{y} one", None, "s"), (4, f"{y} two", None, "s"), (9, x, None, "t"), (9, x, None, "u")]
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in ngram_join.near_texts(docs(spark, rows)).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (4, 2, 1), (9, 2, 1), (9, 2, 1)]
+    more = [*rows, (1, "quite another text than these are", None, "s"), (None, y, None, "s"), (5, None, None, "s"), (6, " ", None, "s")]
+    kept = ngram_join.one_each(docs(spark, more).withColumn("key", F.lit(1)).withColumn("cls", F.lit(2)))
+    assert sorted((str(r["doc_id"]), str(r["text"])[:2]) for r in kept.collect()) == [("1", "qu"), ("1", "v0"), ("1", "w0"), ("5", "No"), ("6", " "), ("None", "w0")]
+    assert kept.columns[-2:] == ["key", "cls"]
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met(spark):
+    """Pairs of every similarity around the threshold; and paths agree as far as hashes do."""
+    rng = random.Random(3)
+    rows, n = [], 0
+    for _ in range(60):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(10_000)) for _ in range(60)]
+        for cut in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9):
+            rows.append((n, " ".join(base[cut:]), None, "s"))
+            n += 1
+    sets = [shingle_set(r[1]) for r in rows]
+    links, comp = brute_groups(n, lambda i, j: i // 10 == j // 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.near_texts(docs(spark, rows)).collect()}
+    assert got == {i: (links[i], comp[i]) for i in range(n)}
+    a = spark.createDataFrame([(x,) for x in (0, 1, 1 << 31, -1 << 63, 1 << 32)], "p long")
+    assert [r[0] for r in a.select(ngram_join.agreed(F.col("p"), F.lit(0).cast("long"), 6)).collect()] == [8, 7, 7, 6, 6]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (7, 7)]
     random.Random(1).shuffle(edges)

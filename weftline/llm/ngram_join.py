@@ -1,14 +1,19 @@
-"""N-gram Jaccard join with MinHash banding.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 A document is its set of five-word shingles. Equal sets are one class and compared once.
-Each class has TREES signatures of DEPTH minimum hashes; the first `depth` hashes of each are
-one key. Two classes are candidates if they share a key in any tree. The depth is fixed before
-data is read: the longest at which pairs at the threshold are met with the target recall.
-Candidates are verified exactly, on the shingles of the whole texts.
+Each class has TREES signatures of DEPTH minimum hashes, each a path in a trie. The tries are
+kept as sorted paths: a node's key is the hash of its prefix at the shortest depth that may be
+needed, the hashes further down are the path below it, and how far two paths agree is the
+length of their common prefix. Each class first meets those that share a whole path with it
+in some tree, and is then followed up, prefixes shortened by one at a time, until its own
+estimate of recall reaches the target: links found at similarity s count 1 / p(s) times,
+where p(s) is the chance that some tree shows such a pair at the prefixes used so far, and
+one unseen link at the threshold is assumed beside them. Candidates are verified exactly, on
+the shingles of the whole texts.
 
 A trie node with few classes gives its pairs. The classes of crowded nodes are joined into
-crowds (components over shared crowded nodes) and each crowd is compared in blocks, a tile
-per two blocks, which gives counts and a spanning set of links instead of pairs.
+crowds (components over shared crowded nodes) and each crowd is compared in blocks of like
+sizes, a tile per two blocks, which gives counts and a spanning set of links instead of pairs.
 """
 
 from __future__ import annotations
@@ -20,27 +25,50 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, tidy
+from .common import checkpointed, tidy, unused
 from .components import components, smallest_reachable
 
 TREES, DEPTH = 32, 8
-SKETCH = "id long, h1 long, h2 long, size int, keys array<long>"
+SKETCH = "id long, k1 long, k2 long, h1 long, h2 long, size int, keys array<long>, paths array<long>"
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32) | 1
 _ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
 def depth_for(threshold: float, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the recall."""
+    """The longest prefix at which a pair at the threshold meets in some tree with the recall:
+    no class has to be followed to shorter ones."""
     depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
+    while depth > 1 and recall_at(threshold, depth) < recall:
         depth -= 1
     return depth
 
 
+def recall_at(s: float, depth: int) -> float:
+    """The chance that some tree shows a pair of similarity s at a common prefix of depth."""
+    return 1 - (1 - s**depth) ** TREES
+
+
+def path_bits(depth: int) -> int:
+    """Bits of each hash below the node in a path of 64 bits."""
+    return min(32, 64 // max(1, DEPTH - depth))
+
+
+def agreed(a: Column, b: Column, depth: int) -> Column:
+    """The length of the common prefix of two paths below one node at depth."""
+    other, bits = a.bitwiseXOR(b), path_bits(depth)
+    levels = [(F.shiftrightunsigned(other, 64 - bits * k) == 0).cast("int") for k in range(1, DEPTH - depth + 1)]
+    return sum(levels, F.lit(depth))
+
+
+def recall_column(s: Column, depth: int) -> Column:
+    """recall_at() of a column."""
+    return 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(TREES))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,26 +119,30 @@ def signatures(rolled: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(batch: pa.RecordBatch, words: int, depth: int) -> pa.RecordBatch:
-    """The sketch of each text that has words: set hashes, size, a prefix key for each tree."""
-    rolled, doc = shingle_sets(batch.column(1), words)
+    """The sketch of each text (the last column) that has words: set hashes, size, and for each
+    tree the key of its node at depth and the path below."""
+    rolled, doc = shingle_sets(batch.column(3), words)
     n = np.bincount(doc, minlength=batch.num_rows)
     some = np.nonzero(n)[0]
     starts = (np.cumsum(n) - n)[some]
-    if not len(some):
-        sums, keys = np.zeros((2, 0), np.uint64), np.zeros((0, TREES), np.uint64)
-    else:
+    keys, paths = np.zeros((2, len(some), TREES), np.uint64)
+    sums = np.zeros((2, 0), np.uint64)
+    if len(some):
         sums = np.stack([np.add.reduceat(_mix(rolled + np.uint64(s)), starts) for s in (11, 12)])
         low = signatures(rolled, starts).reshape(TREES, DEPTH, -1).astype(np.uint64)
-        keys = np.zeros((len(some), TREES), np.uint64)
+        bits = path_bits(depth)
         for t in range(TREES):
             key = np.full(len(some), t + 1, np.uint64)
             for k in range(depth):
                 key = _mix(key + low[t, k] * np.uint64(0x100000001B3))
             keys[:, t] = key
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * TREES), pa.array(keys.reshape(-1).view(np.int64)))
-    ids = batch.column(0).take(pa.array(some))
-    columns = [ids, pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n[some].astype(np.int32)), lists]
-    return pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "size", "keys"])
+            for k in range(depth, DEPTH):
+                paths[:, t] |= (low[t, k] >> np.uint64(32 - bits)) << np.uint64(64 - bits * (k - depth + 1))
+    ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * TREES)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).view(np.int64))) for x in (keys, paths)]
+    given = [batch.column(k).take(pa.array(some)) for k in range(3)]
+    columns = [*given, pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n[some].astype(np.int32)), *lists]
+    return pa.RecordBatch.from_arrays(columns, ["id", "k1", "k2", "h1", "h2", "size", "keys", "paths"])
 
 
 def is_near(shared: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -146,6 +178,11 @@ def tile_links(rolled: np.ndarray, doc: np.ndarray, n_docs: int, left: np.ndarra
     return left[i], right[j]
 
 
+def row_keys(id_: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows of unlike id or text apart."""
+    return F.xxhash64(id_, text), F.xxhash64(F.lit(1), text, id_)
+
+
 def near_texts(
     docs: DataFrame,
     *,
@@ -155,18 +192,55 @@ def near_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     crowd: int = 48,
-    block: int = 256,
+    block: int = 1024,
+    block_shingles: int = 400_000,
 ) -> DataFrame:
     """One row per document: id, n_links, component_id, kept.
 
     Two documents are linked if the Jaccard index of their shingle sets is at least
     threshold. component_id is the smallest id reachable by links, kept the row whose id it
-    is (of rows that repeat an id, one in each class of equal sets may be kept twice). Null
+    is. Rows that repeat an id are rows of their own, of equal or of different texts. Null
     texts and texts without words, and rows without id, link with nothing; texts of fewer
     words than a shingle have are compared as one shingle. Whole texts are compared. An empty
     table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = grouped(
+        docs, threshold=threshold, words=words, recall=recall, id_col=id_col, text_col=text_col, crowd=crowd, block=block, block_shingles=block_shingles
+    )
+    alone = docs.where(F.col(id_col).isNull() | ~has_words(F.col(text_col))).select(F.col(id_col).cast("long").alias("id"))
+    done = named.select("id", "n_links", "component_id").union(alone.select("id", F.lit(0).cast("long"), F.col("id")))
+    return done.select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    )
+
+
+def one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near texts: of those with the smallest id, the first by
+    row key. Rows that near_texts() links with nothing, those without id or words, all stay."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    found = grouped(docs, id_col=id_col, text_col=text_col, **options)
+    first = found.groupBy("group").agg(F.min(F.struct("id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    k1, k2 = (unused(k, [*docs.columns, "k1", "k2"]) for k in ("key", "other"))
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_, text), strict=True)))
+    alone = F.col(id_col).isNull() | ~has_words(text)
+    same = (keyed[k1] == first["k1"]) & (keyed[k2] == first["k2"])
+    kept = keyed.where(~alone).join(first, same, "left_semi").dropDuplicates([k1, k2]).drop(k1, k2)
+    return kept.union(docs.where(alone))
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def grouped(
+    docs: DataFrame, *, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, id_col: str, text_col: str,
+    crowd: int = 48, block: int = 1024, block_shingles: int = 400_000,
+) -> DataFrame:
+    """id, k1, k2 (see row_keys), n_links, component_id and group (one number for a component) of
+    each row with id and words."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    k1, k2 = row_keys(id_, text)
+    rows = docs.where(id_.isNotNull() & text.isNotNull()).select(id_.alias("id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     depth = depth_for(threshold, recall)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,26 +249,25 @@ def near_texts(
                 yield sketches(batch.slice(at, 1000), words, depth)
             tidy()
 
-    drawn = checkpointed(rows.where("id is not null and text is not null").mapInArrow(sketch, SKETCH))
-    reps = checkpointed(drawn.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    nodes = reps.select("rep", "size", F.explode("keys").alias("key"))
-    shared = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-    met = checkpointed(nodes.join(shared, "key").select("key", "rep", "size", "m", "first"))
-    crowds = components(met.where(F.col("m") > crowd).select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    crowds = checkpointed(crowds.withColumnRenamed("component", "crowd"))
-
-    few = met.where(F.col("m") <= crowd).join(crowds.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "size", "crowd")
-    a, b = (few.select(F.col("key"), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "crowd"))) for s in "ab")
+    drawn = checkpointed(rows.mapInArrow(sketch, SKETCH))
+    one = F.min(F.struct("id", "k1", "k2"))  # a row whose text stands for the class
+    reps = drawn.groupBy("h1", "h2").agg(one.alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first(F.struct("keys", "paths")).alias("at"))
+    reps = checkpointed(reps.select("h1", "h2", "rep.*", "n", "size", "at.*", F.monotonically_increasing_id().alias("cls")))
+    nodes = reps.select("cls", "size", F.explode(F.arrays_zip("keys", "paths")).alias("node")).select("cls", "size", "node.keys", "node.paths")
+    shared = nodes.groupBy("keys").agg(F.count("*").alias("m"), F.min("cls").alias("first")).where("m > 1")
+    met = checkpointed(nodes.join(shared, "keys"))
+    crowds = components(met.where(F.col("m") > crowd).select(F.col("cls").alias("a"), F.col("first").alias("b")))
+    crowds = checkpointed(crowds.select(F.col("id").alias("cls"), F.col("component").alias("crowd")))
+
+    few = met.where(F.col("m") <= crowd).join(crowds, "cls", "left")
+    a, b = (few.select(F.col("keys"), *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "size", "paths", "crowd"))) for s in "ab")
     apart = F.col("crowd_a").isNull() | F.col("crowd_b").isNull() | (F.col("crowd_a") != F.col("crowd_b"))
     fits = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9  # else the index can't reach it
-    pairs = a.join(b, "key").where((F.col("rep_a") < F.col("rep_b")) & apart & fits).select("rep_a", "rep_b").distinct()
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b")).union(crowds.select("id")).distinct()
-    texts = rows.join(wanted, rows["id"] == wanted["rep"], "left_semi").join(reps.select(F.col("rep").alias("id"), "n"), "id")
-    texts = texts.dropDuplicates(["id"])  # a class is named by one of its documents
-
-    left, right = (texts.select(F.col("id").alias(f"rep_{s}"), F.col("text").alias(f"text_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    both = pairs.join(left, "rep_a").join(right, "rep_b").select("rep_a", "rep_b", "n_a", "n_b", "text_a", "text_b")
+    pairs = a.join(b, "keys").where((F.col("cls_a") < F.col("cls_b")) & apart & fits)
+    pairs = checkpointed(pairs.groupBy("cls_a", "cls_b").agg(F.max(agreed(F.col("paths_a"), F.col("paths_b"), depth)).alias("agreed")))
+    wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).union(crowds.select("cls")).distinct()
+    wanted = reps.join(wanted, "cls", "left_semi").select("cls", "n", "size", "k1", "k2")
+    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("cls", "n", "size", "text").dropDuplicates(["cls"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -206,53 +279,74 @@ def near_texts(
                 pair, order = doc % m, np.lexsort((rolled, doc % m))
                 same = (pair[order][1:] == pair[order][:-1]) & (rolled[order][1:] == rolled[order][:-1])
                 common = np.bincount(pair[order][1:][same], minlength=m)
-                yield batch.select(["rep_a", "rep_b", "n_a", "n_b"]).filter(pa.array(is_near(common, n[:m], n[m:], threshold)))
+                found = batch.select(["cls_a", "cls_b", "n_a", "n_b"]).append_column("s", pa.array(common / np.maximum(1, n[:m] + n[m:] - common)))
+                yield found.filter(pa.array(is_near(common, n[:m], n[m:], threshold)))
             tidy()
 
-    linked = checkpointed(both.mapInArrow(verify, "rep_a long, rep_b long, n_a long, n_b long"))
-    counted = linked.select(F.col("rep_a").alias("rep"), F.col("n_b").alias("links"), F.col("rep_b").alias("other")).union(
-        linked.select("rep_b", "n_a", F.lit(None).cast("long"))
+    left, right = (texts.select(F.col("cls").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    linked, done = None, None
+    for at in range(DEPTH, depth - 1, -1):  # prefixes of this length now
+        todo = pairs.where(F.col("agreed") == at)
+        if done is not None:  # followed up from either end
+            todo = todo.join(done.select(F.col("cls").alias("cls_a"), F.lit(1).alias("done_a")), "cls_a", "left")
+            todo = todo.join(done.select(F.col("cls").alias("cls_b"), F.lit(1).alias("done_b")), "cls_b", "left").where("done_a is null or done_b is null")
+        both = todo.join(left, "cls_a").join(right, "cls_b").select("cls_a", "cls_b", "n_a", "n_b", "text_a", "text_b")
+        found = checkpointed(both.mapInArrow(verify, "cls_a long, cls_b long, n_a long, n_b long, s double"))
+        linked = found if linked is None else linked.unionByName(found)
+        ends = linked.select(F.col("cls_a").alias("cls"), F.col("n_b").alias("n"), "s").union(linked.select("cls_b", "n_a", "s"))
+        missed = F.sum(F.col("n") * (1 / recall_column(F.col("s"), at) - 1)) + (1 / recall_at(threshold, at) - 1)
+        done = ends.groupBy("cls").agg(F.sum("n").alias("found"), missed.alias("missed"))
+        done = done.where((F.col("found") + 1) / (F.col("found") + 1 + F.col("missed")) >= recall).select("cls")
+    counted = linked.select(F.col("cls_a").alias("cls"), F.col("n_b").alias("links"), F.col("cls_b").alias("other")).union(
+        linked.select("cls_b", "n_a", F.lit(None).cast("long"))
     )
 
-    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = crowds.join(sizes, "crowd").join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("crowd", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "id", "n", "text")
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rolled, doc = shingle_sets(batch.column(3), words)
+                ends = np.append(0, np.cumsum(np.bincount(doc, minlength=batch.num_rows)) * 8).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(rolled)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], ["cls", "n", "size", "shingles"])
+            tidy()
+
+    band = F.floor(F.log(F.col("size")) / (math.log(1 / threshold) * 1.001)).cast("long")  # near sets lie in neighbouring ones
+    members = texts.join(crowds, "cls", "left_semi").mapInArrow(hashed, "cls long, n long, size int, shingles binary")
+    placed = crowds.join(reps.select("cls", "size"), "cls").withColumn("band", band)
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_shingles)).cast("int")
+    sizes = checkpointed(placed.groupBy("crowd", "band").agg(blocks.alias("blocks")))
+    beside = sizes.select("crowd", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"), F.col("band").alias("to"), F.col("blocks").alias("to_blocks"))
+    around = beside.groupBy("crowd", "band").agg(F.collect_list(F.struct("to", "to_blocks")).alias("around")).join(sizes, ["crowd", "band"])
+    number = lambda b, i: F.shiftleft(b, 32) + i
+    others = F.flatten(F.transform("around", lambda z: F.transform(F.sequence(F.lit(0), z["to_blocks"] - 1), lambda i: number(z["to"], i))))
+    dealt = placed.select("cls", "crowd", "band").join(around, ["crowd", "band"])
+    dealt = dealt.withColumn("own", number(F.col("band"), F.pmod(F.xxhash64("cls"), F.col("blocks"))))
+    dealt = dealt.select("cls", "crowd", "own", F.explode(others).alias("with"))
+    dealt = dealt.join(members, "cls").select("crowd", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "cls", "n", "shingles")
 
     def tile(key: tuple, t: pa.Table) -> pa.Table:
-        ids, sizes, own = (t[c].to_numpy() for c in ("id", "n", "own"))
-        rolled, doc = shingle_sets(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0), words)
+        ids, sizes, own = (t[c].to_numpy() for c in ("cls", "n", "own"))
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in t["shingles"]]
+        doc = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
         x, y = key[1].as_py(), key[2].as_py()
-        i, j = tile_links(rolled, doc, len(ids), np.nonzero(own == x)[0], np.nonzero(own == y)[0], threshold)
+        i, j = tile_links(np.concatenate(sets), doc, len(ids), np.nonzero(own == x)[0], np.nonzero(own == y)[0], threshold)
         if x == y:
             once = i < j
             i, j = i[once], j[once]
         links = np.bincount(i, sizes[j], len(ids)) + np.bincount(j, sizes[i], len(ids))
         label = smallest_reachable(len(ids), i, j)
         some = (links > 0) | (label != np.arange(len(ids)))
-        return pa.table({"rep": ids[some], "links": links[some].astype(np.int64), "other": ids[label[some]]})
+        return pa.table({"cls": ids[some], "links": links[some].astype(np.int64), "other": ids[label[some]]})
 
-    tiles = dealt.groupBy("crowd", "x", "y").applyInArrow(tile, "rep long, links long, other long")
+    tiles = dealt.groupBy("crowd", "x", "y").applyInArrow(tile, "cls long, links long, other long")
     every = checkpointed(counted.unionByName(tiles))
-    counts = every.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(every.where("other is not null and other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    known = reps.join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("h1", "h2", "rep", "n", "links", "component")
-    named = drawn.select("id", "h1", "h2").join(known, ["h1", "h2"])
-    done = named.select(
-        "id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    counts = every.groupBy("cls").agg(F.sum("links").alias("links"))
+    comps = components(every.where("other is not null and other <> cls").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    joined = reps.select("cls", "h1", "h2", "id", "n").join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left")
+    joined = joined.join(counts, "cls", "left").withColumn("group", F.coalesce("component", "cls"))
+    lowest = joined.where("component is not null").groupBy("group").agg(F.min("id").alias("low"))
+    known = joined.join(lowest, "group", "left").select("h1", "h2", "group", "n", "links", F.coalesce("low", "id").alias("component_id"))
+    return drawn.select("id", "k1", "k2", "h1", "h2").join(known, ["h1", "h2"]).select(
+        "id", "k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id", "group"
     )
-    alone = rows.where("id is null or text is null").select("id").union(_wordless(rows))
-    done = done.union(alone.select("id", F.lit(0).cast("long"), F.col("id")))
-    return done.select(
-        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
-    )
-
-
-def _wordless(rows: DataFrame) -> DataFrame:
-    """Ids of texts without a word."""
-    return rows.where("id is not null and text is not null").where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id")
-
-
-def recall_at(threshold: float, depth: int) -> float:
-    return 1 - math.pow(1 - threshold**depth, TREES)

@@ -95,10 +95,17 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, steps: list[int])
     return none, none, np.zeros(0)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is near 1: cosines stay the
+    same to the last bit, squares neither vanish nor overflow."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0.0))[1][:, None])
+
+
 def compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, vectors: np.ndarray, same: bool, turn: np.ndarray, threshold: float) -> tuple:
     """Of one pair of leaves: each vector's links, in rows before grouping, and edges that
     hold together what is linked."""
-    vectors = vectors.astype(np.float64)
+    vectors = scaled(vectors)
     norms = np.linalg.norm(vectors, axis=1)
     unit = vectors / norms[:, None]
     turned = unit @ turn
@@ -133,39 +140,47 @@ def compare(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, vectors: np.nd
 def _links(reps: DataFrame, n: int, threshold: float, leaf_rows: int, sample: int, lead: int) -> DataFrame:
     """rep, links, other: link counts (other null) and edges (links 0) of vectors of one length."""
     spark = reps.sparkSession
-    drawn = matrix(sampled(reps.select("rep", "v"), sample, "rep").toArrow().sort_by("rep")["v"]).astype(np.float64)
+    drawn = matrix(sampled(reps.select("h1", "v"), sample, "h1").toArrow().sort_by("h1")["v"])
     if not len(drawn):  # so few vectors that none was picked
-        drawn = matrix(reps.limit(1).select("v").toArrow()["v"]).astype(np.float64)
-    axes = Axes(drawn, math.ceil(n / leaf_rows), lead)
+        drawn = matrix(reps.limit(1).select("v").toArrow()["v"])
+    axes = Axes(scaled(drawn), math.ceil(n / leaf_rows), lead)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
 
     def place(batch: pa.RecordBatch) -> np.ndarray:
-        v = matrix(batch.column(batch.schema.get_field_index("v"))).astype(np.float64)
+        v = scaled(matrix(batch.column(batch.schema.get_field_index("v"))))
         return axes.place(v / np.linalg.norm(v, axis=1, keepdims=True))
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.full((axes.leaves, axes.lead + 1), np.inf)
-        high = -low
+        high, rows = -low, np.zeros(axes.leaves, np.int64)
         for batch in batches:
             p = place(batch)
             at = axes.leaf(p)
             np.minimum.at(low, at, p)
             np.maximum.at(high, at, p)
-        used = np.nonzero(np.isfinite(low[:, 0]))[0]
+            rows += np.bincount(at, minlength=axes.leaves)
+        used = np.nonzero(rows)[0]
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(low[used].tolist()), pa.array(high[used].tolist())], ["leaf", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(low[used].tolist()), pa.array(high[used].tolist()), pa.array(rows[used])], ["leaf", "low", "high", "rows"])
+
+    def joined(key: tuple, t: pa.Table) -> pa.Table:
+        low, high = (np.array(t[c].to_pylist()) for c in ("low", "high"))
+        return pa.table({"leaf": [key[0].as_py()], "low": [low.min(0).tolist()], "high": [high.max(0).tolist()], "rows": [sum(t["rows"].to_pylist())]})
 
+    box = "leaf long, low array<double>, high array<double>, rows long"
     low = np.full((axes.leaves, axes.lead + 1), np.inf)
-    high = -low
-    for r in reps.select("v").mapInArrow(boxes, "leaf long, low array<double>, high array<double>").toLocalIterator():
-        low[r["leaf"]], high[r["leaf"]] = np.minimum(low[r["leaf"]], r["low"]), np.maximum(high[r["leaf"]], r["high"])
-    shared = spark.sparkContext.broadcast((axes, low, high))
+    high, rows = -low, np.zeros(axes.leaves, np.int64)
+    for r in reps.select("v").mapInArrow(boxes, box).groupBy("leaf").applyInArrow(joined, box).collect():  # a row a leaf, at most `sample`
+        low[r["leaf"]], high[r["leaf"]], rows[r["leaf"]] = r["low"], r["high"], r["rows"]
+    parts = np.maximum(1, -(-rows // (4 * leaf_rows)))  # of each leaf: a task takes one part of two leaves
+    shared = spark.sparkContext.broadcast((axes, low, high, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes, low, high = shared.value
+        axes, low, high, parts = shared.value
         for batch in batches:
             p = place(batch)
             home = axes.leaf(p)
+            own_part = batch.column(batch.schema.get_field_index("rep")).to_numpy() % parts[home]
             step = max(1, 2_000_000 // axes.leaves)
             for x in range(0, len(p), step):
                 q, h = p[x : x + step], home[x : x + step]
@@ -176,17 +191,21 @@ def _links(reps: DataFrame, n: int, threshold: float, leaf_rows: int, sample: in
                 to = away <= reach**2
                 to[np.arange(len(q)), h] = True
                 row, leaf = np.nonzero(to)
+                times = parts[leaf]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, leaf = np.repeat(row, times), np.repeat(leaf, times)
                 for k in range(0, len(row), 20_000):
-                    r, m = row[k : k + 20_000], leaf[k : k + 20_000]
-                    own = h[r]
+                    r, m, j = row[k : k + 20_000], leaf[k : k + 20_000], part[k : k + 20_000]
+                    own, i = h[r], own_part[r + x]
+                    second = (own > m) | (own == m) & (i > j)
                     out = batch.take(pa.array(r + x))
-                    more = [pa.array(v.astype(np.int32)) for v in (np.minimum(own, m), np.maximum(own, m), own > m)]
-                    yield pa.RecordBatch.from_arrays([*out.columns, *more], ["rep", "n", "v", "a", "b", "side"])
+                    cols = [np.minimum(own, m), np.maximum(own, m), np.where(second, j, i), np.where(second, i, j), second]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(c.astype(np.int32)) for c in cols)], ["rep", "n", "v", "a", "b", "i", "j", "side"])
 
     def pair(key: tuple, t: pa.Table) -> pa.Table:
-        a, b = key[0].as_py(), key[1].as_py()
+        same = key[0].as_py() == key[1].as_py() and key[2].as_py() == key[3].as_py()
         ids = t["rep"].to_numpy()
-        links, one, other = compare(ids, t["n"].to_numpy(), t["side"].to_numpy(), matrix(t["v"]), a == b, shared.value[0].turn, threshold)
+        links, one, other = compare(ids, t["n"].to_numpy(), t["side"].to_numpy(), matrix(t["v"]), same, shared.value[0].turn, threshold)
         some = links > 0
         nothing = pa.nulls(int(some.sum()), pa.int64())
         return pa.table({
@@ -196,8 +215,8 @@ def _links(reps: DataFrame, n: int, threshold: float, leaf_rows: int, sample: in
         })
 
     element = reps.schema["v"].dataType.simpleString()
-    met = reps.select("rep", "n", "v").mapInArrow(deal, f"rep long, n long, v {element}, a int, b int, side int")
-    return met.groupBy("a", "b").applyInArrow(pair, "rep long, links long, other long")
+    met = reps.select("rep", "n", "v").mapInArrow(deal, f"rep long, n long, v {element}, a int, b int, i int, j int, side int")
+    return met.groupBy("a", "b", "i", "j").applyInArrow(pair, "rep long, links long, other long")
 
 
 def near_vectors(
@@ -216,7 +235,7 @@ def near_vectors(
     vector is null, empty, zero or holds null or non-finite components, and rows without id,
     link with nothing: they are their own component. Vectors of different lengths don't link.
     Equal vectors are compared once and count as often as they occur; rows that repeat an id
-    are rows of their own. An empty table gives no rows; other columns are ignored. The axes
+    are rows of their own, of equal or of different vectors. An empty table gives no rows; other columns are ignored. The axes
     come from about `sample` vectors (picked by hash of id), and only decide what is
     compared when; all vectors that could be linked are compared.
     """
@@ -226,8 +245,8 @@ def near_vectors(
     rows = vectors.select(
         F.col(id_col).alias("id"), F.when(ok, F.xxhash64(vector)).alias("h1"), F.when(ok, F.xxhash64(F.lit(7), vector)).alias("h2"), F.when(ok, vector).alias("v")
     )
-    reps = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    reps = checkpointed(reps)
+    reps = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"))
+    reps = checkpointed(reps.withColumn("rep", F.monotonically_increasing_id()))  # a number for each vector, which ids need not be
     lengths = reps.groupBy(F.size("v").alias("d")).count().collect()
     found = [_links(reps.where(F.size("v") == r["d"]), r["count"], threshold, leaf_rows, sample, lead) for r in sorted(lengths)]
     if not found:
@@ -238,9 +257,11 @@ def near_vectors(
     links = checkpointed(links)
     counts = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    known = reps.join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "rep", "n", "links", "component")
+    known = reps.join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    lowest = known.where("component is not null").groupBy("component").agg(F.min("low").alias("lowest"))
+    known = known.join(lowest, "component", "left").select("h1", "h2", "rep", "n", "links", F.coalesce("lowest", "low").alias("of"))
     joined = rows.drop("v").join(known, ["h1", "h2"], "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.coalesce("of", "id")
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("rep").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
