@@ -59,7 +59,7 @@ def test_topk_against_brute_force(spark):
     rows += [(300 + i, rows[7][1]) for i in range(60)]  # ties
     rows += [(900, None), (950, [float("nan")] * 8), (901, [1.0, None] * 4), (902, []), (None, rows[1][1]), (903, [float("inf")] * 8), (904, [0.0] * 8), (1000, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=4, shard=16)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_bytes=300)
     f32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert {tuple(r) for r in got.collect()} == brute_top(f32, 5)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
@@ -108,11 +108,51 @@ def test_markov_sums_to_one():
         assert abs(total - 1) < 1e-9
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, "c": 100, "d": 100}, (1, 2, 3), 3) == pytest.approx({"a": 400 / 7, "b": 800 / 7, "c": 1200 / 7, "d": 400 / 7})
-    capped = mixing.targets({"a": 1000, "b": 1, None: 999}, (1, 2, 3), 3)
-    assert capped["b"] == 3 and sum(capped.values()) == pytest.approx(2000) and capped[None] == pytest.approx(1997 * 3 / 4)
-    assert mixing.targets({}, (1, 2, 3), 3) == {} and mixing.targets({"a": 0}, (1,), 3) == {"a": 0}
+def brute_targets(sizes, weights, most):
+    """Shares by weight again and again, what is over its limit set to it."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, out = {s: weights[i % len(weights)] for i, s in enumerate(names)}, {}
+    while free := [s for s in names if s not in out]:
+        left = sum(sizes.values()) - sum(out.values())
+        share = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            return out | share
+        out |= {s: most * sizes[s] for s in over}
+    return out
+
+
+def test_targets(spark):
+    def got(sizes, weights=(1, 2, 3)):
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long").repartition(4)
+        return {r["source"]: r["target"] for r in mixing.targets(df, weights, 3).collect()}
+
+    rng = np.random.default_rng(3)
+    for sizes in (
+        {"a": 100, "b": 100, "c": 100, "d": 100}, {"a": 1000, "b": 1, None: 999}, {"a": 0}, {}, {"a": 0, "b": 5, "Z": 2, "é": 7, None: 1},
+        {f"s{i}": int(3 ** rng.uniform(0, 12)) for i in range(200)}, {f"s{i}": 4**i for i in range(20)},
+    ):
+        assert got(sizes) == pytest.approx(brute_targets(sizes, (1, 2, 3), 3))
+
+
+def test_as_many_sources_as_documents(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    few, many = (sorted(tuple(r) for r in mixing.mix_sources(df, broadcast_rows=n).collect()) for n in (10, 10_000))
+    assert few == many and len(few) == 3000
+    assert sum(r[5] for r in few) == pytest.approx(sum(r[1] for r in few), rel=0.05)
+
+
+def test_mixed_rows(spark):
+    """Repeated rows come as often as all of them are taken; other columns and names stay."""
+    rows = [(1, "w " * 5, "a", 3, "x.y")] * 200 + [(i, "w " * 5, "b", 3, "z") for i in range(2, 402)] + [(9, None, "a", 1, "n"), (1, "w " * 5, "c", 1, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, `key` string")
+    taken = {r[0]: r[1] for r in mixing.mix_sources(df).groupBy("source_size").agg(F.sum("copies")).collect()}
+    for many in (7, 1000):
+        out = mixing.mixed(df, many=many)
+        assert out.columns == df.columns
+        got = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+        assert got == {"a": taken[1000], "b": taken[2000], "c": taken[5]}
+    assert mixing.mixed(df.limit(0)).count() == 0
 
 
 def test_pivot_keeps_words():
@@ -141,8 +181,6 @@ def test_mixing_meets_targets(spark):
     key = lambda rs: sorted((str(r["doc_id"]), r["size"], r["copies"]) for r in rs)
     assert key(out) == key(again)
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(df, max_sources=2)
 
 
 def test_pack_properties():

@@ -15,10 +15,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, quoted, unused
 
 FAN = 32
 
@@ -27,27 +27,42 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict[str | None, int], weights: Sequence[float], most: float) -> dict[str | None, float]:
-    """Shares of the sum of all sizes by weight, none above `most` times the source's size.
+def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
+    """sizes (source, size, n) with the source's number s and its target.
 
-    Sources go by code point, null last, and get the weights in turn. What a source can't
-    take is shared again among the others by weight.
+    Sources go by code point, null last, and get the weights in turn. Shares of the sum of all
+    sizes go by weight; none is above `most` times its source's size, and the excess is shared
+    again: a target is the lesser of that and weight * level. The level rises until the
+    targets of the sources below their limits use up what is left; it, two sums and a count
+    for each partition are all that the driver sees, however many sources there are.
     """
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out: dict[str | None, float] = {}
-    left, free = float(sum(sizes.values())), list(names)
-    while free:
-        total = sum(weight[s] for s in free)
-        share = {s: left * weight[s] / total for s in free}
-        over = [s for s in free if share[s] > most * sizes[s]]
-        if not over:
-            return out | share
-        for s in over:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        free = [s for s in free if s not in out]
-    return out
+    spread = checkpointed(sizes.orderBy(F.col("source").asc_nulls_last()))  # ranges of sources in order
+    spread = spread.withColumn("at", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("at").orderBy(F.col("source").asc_nulls_last())) - 1
+    before, first = 0, []
+    for r in spread.groupBy("at").count().orderBy("at").collect():
+        first.append((r["at"], before))
+        before += r["count"]
+    starts = spread.sparkSession.createDataFrame(first, "at int, before long")
+    turn = F.array(*(F.lit(float(w)) for w in weights))
+    numbered = spread.withColumn("place", place).join(F.broadcast(starts), "at").withColumn("s", F.col("before") + F.col("place"))
+    numbered = numbered.withColumn("weight", F.element_at(turn, (F.col("s") % len(weights) + 1).cast("int"))).drop("at", "before", "place")
+    numbered = checkpointed(numbered)
+    total, level = numbered.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], -1.0
+    limit = F.col("size") * F.lit(float(most))
+    while True:
+        over = F.col("weight") * F.lit(level) > limit if level >= 0 else F.lit(False)
+        capped, free = numbered.agg(F.sum(F.when(over, limit).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        new = (total - capped) / free if free else level
+        if new == level or not free:
+            break
+        level = max(new, level)
+    return numbered.withColumn("target", F.least(limit, F.col("weight") * F.lit(level))).drop("weight")
+
+
+def row_keys(*columns: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows apart."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(2), *reversed(columns))
 
 
 def pivot(sizes: Sequence[int], parts: Sequence[float], rng: np.random.Generator) -> list[float]:
@@ -81,43 +96,43 @@ def mix_sources(
     source_col: str = "source",
     text_col: str = "text",
     bucket: int = 4096,
-    max_sources: int = 100_000,
+    broadcast_rows: int = 10_000,
 ) -> DataFrame:
-    """One row per document: id, size (words), source_size, target, copies, taken, row_key.
+    """One row per document: id, size (words), source_size, target, copies, taken, k1, k2.
 
     A source takes target / source_size copies of each document on average and its taken
     words meet its target but for one document. Null texts have size 0 and are taken 0 times,
     as are texts without words; a null source is a source, sorted last. Buckets and draws
-    depend on the hash of id and text, so reruns agree however rows are dealt; rows that
-    repeat both are alike and may get different copies. An empty table gives no rows; other
-    columns are ignored. More than max_sources sources raise ValueError: their totals, not
-    their documents, are held on the driver. row_key is the hash of id and text.
+    depend on the hash of id, source and text, so reruns agree however rows are dealt; rows
+    that repeat all three are alike and may get different copies. An empty table gives no
+    rows; other columns are ignored. There may be any number of sources; up to broadcast_rows
+    of them are sent to all executors. k1 and k2 are 128 bits of id, source and text.
     """
-    spark = docs.sparkSession
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), key.alias("h"))
+    k1, k2 = row_keys(F.col(id_col), F.col(source_col), F.col(text_col))
+    sized = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), k1.alias("k1"), k2.alias("k2")
+    )
     sized = checkpointed(sized)
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
-    if len(by_source) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = {r["source"]: r["size"] for r in by_source}
-    goal = targets(sizes, weights, most)
-    known = [
-        (i, r["source"], r["size"], goal[r["source"]], goal[r["source"]] / r["size"] if r["size"] else 0.0, max(1, math.ceil(r["n"] / bucket)))
-        for i, r in enumerate(sorted(by_source, key=lambda r: (r["source"] is None, r["source"] or "")))
-    ]
-    plan = spark.createDataFrame(known, "s int, of string, source_size long, target double, ratio double, buckets int")
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    ratio = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    plan = targets(by_source, weights, most).select(
+        "s", F.col("source").alias("of"), F.col("size").alias("source_size"), "target", ratio.alias("ratio"), F.ceil(F.col("n") / bucket).cast("int").alias("buckets")
+    )
+    plan = checkpointed(plan)
+    sources, most_buckets, letters = plan.agg(F.count("*"), F.max("buckets"), F.coalesce(F.sum(F.length("of")), F.lit(0))).first()
+    if sources <= broadcast_rows and letters <= 1000 * broadcast_rows:
+        plan = F.broadcast(plan)
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).drop("of", "source")
     fraction = F.col("ratio") - F.floor("ratio")
     rows = joined.select(
-        "id", "h", "size", "s", F.floor("ratio").alias("whole"),
+        "id", "k1", "k2", "size", "s", F.floor("ratio").alias("whole"),
         F.when((F.col("size") == 0) | (fraction < 1e-9), 0.0).when(fraction > 1 - 1e-9, 1.0).otherwise(fraction).alias("part"),
-        F.pmod(F.xxhash64("h", F.lit(seed)), "buckets").cast("int").alias("b"), "source_size", "target",
+        F.pmod(F.xxhash64("k1", F.lit(seed)), "buckets").cast("int").alias("b"), "source_size", "target",
     )
     kind = rows.schema
 
     def settle(keys: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending"), ("id", "ascending")])
+        t = t.sort_by([("k1", "ascending"), ("k2", "ascending")])
         rng = np.random.default_rng([seed, *(abs(k.as_py()) for k in keys), t.num_rows])
         parts = pivot(t["size"].to_pylist(), t["part"].to_pylist(), rng)
         return t.set_column(t.column_names.index("part"), "part", pa.array(parts, pa.float64()))
@@ -125,7 +140,7 @@ def mix_sources(
     done = checkpointed(rows.groupBy("s", "b").applyInArrow(settle, kind))
     is_open = (F.col("part") > 0) & (F.col("part") < 1)
     decided, open_ = [done.where(~is_open)], done.where(is_open)
-    levels = max([1, *(k[5] for k in known)])
+    levels = most_buckets or 1
     while levels > 1:
         levels = math.ceil(levels / FAN)
         met = open_.withColumn("b", (F.col("b") / FAN).cast("int")).groupBy("s", "b").applyInArrow(settle, kind)
@@ -133,12 +148,29 @@ def mix_sources(
             met = checkpointed(met)
         decided.append(met.where(~is_open))
         open_ = met.where(is_open)
-    draw = F.pmod(F.xxhash64("h", "id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("k1", "k2", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
     decided.append(open_.withColumn("part", (draw < F.col("part")).cast("double")))
     every = decided[0]
     for more in decided[1:]:
         every = every.unionByName(more)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("part").cast("long")).cast("long")
     return every.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.col("h").alias("row_key")
+        F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "k1", "k2"
     )
+
+
+def mixed(docs: DataFrame, *, many: int = 1000, **options) -> DataFrame:
+    """docs with each row as often as mix_sources() takes it; the rows that repeat id, source and
+    text come as often as all of them are taken, in the shape of one of them. A row that is
+    taken more than `many` times is copied by several tasks."""
+    id_, source, text = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("source", "source"), ("text", "text")))
+    plan = mix_sources(docs, **options).groupBy("k1", "k2").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    a, b, times, turn = (unused(n, [*docs.columns, "k1", "k2", "copies"]) for n in ("key", "other", "times", "turn"))
+    keyed = docs.withColumns(dict(zip((a, b), row_keys(F.col(id_), F.col(source), F.col(text)), strict=True))).dropDuplicates([a, b])
+    plan = plan.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("copies").alias(times))
+    planned = checkpointed(keyed.join(plan, [a, b]).select(*map(quoted, docs.columns), times))
+    each = lambda n: F.explode(F.sequence(F.lit(1), n))
+    few = planned.where(F.col(times) <= many).withColumn(turn, each(F.col(times)))
+    lots = planned.where(F.col(times) > many).withColumn(turn, each(F.ceil(F.col(times) / many)))
+    lots = lots.repartition(F.xxhash64(turn)).withColumn(turn, each(F.least(F.lit(many), F.col(times) - many * (F.col(turn) - 1))))
+    return few.select(*map(quoted, docs.columns)).union(lots.select(*map(quoted, docs.columns)))

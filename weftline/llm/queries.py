@@ -72,7 +72,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("row_key")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
