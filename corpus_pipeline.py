@@ -32,29 +32,45 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without id all stay."""
-    kept = ngram_join.near_texts(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each group of near copies: of those with the smallest id the first by
+    a hash of id and text.
+
+    Rows without id, null texts and texts without words belong to no group and stay. Rows
+    that share an id but not a text are told apart; of rows that repeat both one stays.
+    Columns of any name stay. An empty table stays empty.
+    """
+    return ngram_join.one_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind."""
+    """Replaces personal data by its kind and counts n_chars (if there is one) anew.
+
+    Null texts stay null, with null n_chars; empty ones stay empty. Rows that repeat are
+    changed alike; ids play no part. An empty table stays empty.
+    """
+    clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     length = F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))
-    return pii.redact(docs).withColumn("n_chars", length).select(docs.columns)
+    return clean.withColumn("n_chars", length)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources meet their weights."""
-    plan = mixing.mix_sources(docs).select(F.col("row_key").alias("_key"), F.col("copies").cast("int").alias("_copies"))
-    plan = plan.where("_copies > 0").dropDuplicates(["_key"])
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    copied = keyed.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copied.select(docs.columns)
+    """Repeats or drops documents so that sources meet their weights.
+
+    Null texts and texts without words weigh nothing and go. Rows that repeat id, source and
+    text come as often as all of them are taken together, in the shape of one of them.
+    Columns of any name stay. An empty table stays empty.
+    """
+    return mixing.mixed(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences.
+
+    A null or empty text is its end alone; every row is packed, repeated ones and those
+    without id too. An empty table gives no rows.
+    """
     return packed(docs)
 
 
