@@ -267,7 +267,7 @@ def grouped(
     pairs = checkpointed(pairs.groupBy("cls_a", "cls_b").agg(F.max(agreed(F.col("paths_a"), F.col("paths_b"), depth)).alias("agreed")))
     wanted = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).union(crowds.select("cls")).distinct()
     wanted = reps.join(wanted, "cls", "left_semi").select("cls", "n", "size", "k1", "k2")
-    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("cls", "n", "size", "text").dropDuplicates(["cls"])
+    texts = checkpointed(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("cls", "n", "size", "text").dropDuplicates(["cls"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
