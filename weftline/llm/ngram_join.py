@@ -245,9 +245,9 @@ def grouped(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                yield sketches(batch.slice(at, 1000), words, depth)
-            tidy()
+            for at in range(0, batch.num_rows, 500):
+                yield sketches(batch.slice(at, 500), words, depth)
+                tidy()
 
     drawn = checkpointed(rows.mapInArrow(sketch, SKETCH))
     one = F.min(F.struct("id", "k1", "k2"))  # a row whose text stands for the class
