@@ -265,7 +265,7 @@ def test_strict_patterns_against_regex():
 
 
 def test_long_runs_are_linear():
-    for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" + "(" * 200_000, "1." * 100_000, "@" * 100_000):
+    for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" + "(" * 200_000, "1." * 100_000, "@" * 100_000, "token:" * 50_000, "1:" * 100_000, "a1" * 100_000, "415-555-2671 " * 20_000):
         pii.candidates(t)
 
 
@@ -282,19 +282,62 @@ def test_pii_rows_and_redaction(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+PLANTED = {
+    "email": (["write to anna {at} mail{i} [dot] com now", "contact: paul (at) firma{i}.de", "reach mary.s [at] uni{i}.edu please"], ["meet [at] room{i} . then", "sold (at) auction{i}.q today"]),
+    "ip": (["server 2001:db8:85a3::8a2e:370:{i} is up", "login from host fe80::1ff:fe23:4567:{i}"], ["at 12:30:{i} we met", "ratio 3:2:{i} holds"]),
+    "card": (["amex card 3782822463{i}0005 was used", "pay by visa 42222222222{i}2"], ["isbn 97803064061{i}5", "no 11112222333{i}4 of the list"]),
+    "phone": (["phone 415-555-26{i} please call", "tel 0049 30 1234{i}", "call me (212) 555-01{i}"], ["version 111-111-11{i}", "isbn 000-111-00{i}"]),
+    "secret": (['token = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e{i}"', "password: hunter{i}Xyz9", "api_key=AKIAIOSFODNN7EXAM{i}"], ['token = "your_token_here_{i}"', "commit 1111111111111111111111111111111111111{i}"]),
+}
+
+
+def test_planted_kinds_are_found(spark):
+    """Precision and recall of added spans, by kind, on planted texts."""
+    rng = random.Random(5)
+    rows, truth, sham = [], {}, {}
+    for kind, (good, bad) in PLANTED.items():
+        for n in range(40):
+            for real, forms in ((True, good), (False, bad)):
+                text = "und the la de so on " + rng.choice(forms).format(i=rng.randint(10, 99), at="[at]") + " und the la"
+                (truth if real else sham)[len(rows)] = kind
+                rows.append((len(rows), text, None, "s"))
+    rows += [(10_000 + i, "the cat and the dog went to the house and said 12 words in 1999", None, "s") for i in range(200)]
+    found = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.find_pii(docs(spark, rows)).collect()}
+    for kind in PLANTED:
+        if kind == "card":  # most planted ones fail the checksum, by design: those must not be added
+            assert all(pii.luhn(re.sub("[^0-9]", "", rows[i][1])) for i, k in truth.items() if k == kind and kind in found[i])
+            continue
+        right = sum(kind in found[i] for i, k in truth.items() if k == kind)
+        wrong = sum(kind in found[i] for i, k in sham.items() if k == kind)
+        assert right >= 36 and right >= 0.9 * (right + wrong), (kind, right, wrong)
+    assert not any(found[10_000 + i] for i in range(200))
+    thirty = [(i, "phone 415-555-2671 please call", None, "s") for i in range(30)]
+    assert all([s["kind"] for s in r["spans"]] == ["phone"] for r in pii.find_pii(docs(spark, thirty)).collect())
+
+
+def test_added_spans_overlap_nothing():
+    rng = random.Random(7)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a@b.de", "token=", "1.2.3.4", "415-555-2671", " ", "x", "9", "::", "(at)", "deadbeef99", "+1 ", "password: "]) for _ in range(rng.randint(0, 25)))
+        base = pii.strict(t)
+        spans = sorted((a, b, k) for k, a, b in pii.loose(t, base))
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        assert all(b <= x or a >= y for a, b, _ in spans for _, x, y in base)
+
+
 def test_reliabilities_find_the_bad_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.5
     votes = []
     for t in truth:
-        good = ["y" if (t if rng.random() < 0.9 else not t) else "n" for _ in range(4)]
+        good = ["y" if (t if rng.random() < 0.9 else not t) else "n" for _ in range(3)]
         votes.append("".join([*good, rng.choice(list("yn"))]))
     c = Counter(votes)
     trust, chance = pii.reliabilities(sorted(c), np.array([c[k] for k in sorted(c)], float))
-    assert all(trust[k, 1, 2] > 0.8 and trust[k, 0, 0] > 0.8 for k in range(4))
-    assert abs(trust[4, 1, 2] - trust[4, 0, 2]) < 0.1
+    assert all(trust[k, 1, 2] > 0.8 and trust[k, 0, 0] > 0.8 for k in range(3))
+    assert abs(trust[3, 1, 2] - trust[3, 0, 2]) < 0.1
     by = dict(zip(sorted(c), chance))
-    assert np.mean([(by[v] > 0.5) == t for v, t in zip(votes, truth)]) > 0.93
+    assert np.mean([(by[v] > 0.5) == t for v, t in zip(votes, truth)]) > 0.9
 
 
 # --- joins ---
