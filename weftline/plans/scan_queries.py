@@ -267,15 +267,6 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.regexp_extract(result, r"(\d+) nodes found", 1).cast("long").alias("nodes_returned"))
 
 
-@query("extracted_python", None)
-def extracted_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes and edges of small modules, one for each part."""
-    from ..sources.extract import extract
-
-    name = F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_")
-    code = F.concat(F.lit("import os\n\nclass Part(Base):\n    def "), name, F.lit("(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n"))
-    f = table(spark, sf_dir, "part").select(F.concat(F.lit("catalog/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
-    return extract(f)
 
 
 @query("node_betweenness_sampled", None)

@@ -1,14 +1,20 @@
-"""Files to nodes and edges: Python, Markdown and SQL, a batch of files at a time."""
+"""Files to nodes and edges, a batch of files at a time: Python, Markdown and SQL here, other
+languages by their grammars."""
 
 from __future__ import annotations
 
 import ast
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import markup
+from .code import code_rows
+from .grammars import BY_SUFFIX
+
 NODE = "kind string, id string, label string, line int, target string, relation string, source_file string"
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*$")
 LINK = re.compile(r"\[[^\]]*\]\(([^)\s]+)\)")
@@ -90,6 +96,17 @@ def sql_rows(text: str, path: str) -> Iterator[Row]:
 EXTRACTORS: dict[str, Callable[[str, str], Iterator[Row]]] = {"py": python_rows, "md": markdown_rows, "sql": sql_rows}
 
 
+def extractor(path: str) -> Callable[[str, str], Iterator[Row]] | None:
+    """What reads files of this name, if anything does."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if path.lower().endswith(".blade.php"):
+        return markup.blade_rows
+    if suffix in EXTRACTORS or suffix in markup.BY_SUFFIX:
+        return EXTRACTORS.get(suffix) or markup.BY_SUFFIX[suffix]
+    grammar = BY_SUFFIX.get(suffix)
+    return partial(code_rows, grammar=grammar) if grammar else None
+
+
 def extract(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Rows of NODE for files whose extension has an extractor; texts that don't parse give none."""
 
@@ -98,7 +115,7 @@ def extract(files: DataFrame, path_col: str = "path", text_col: str = "text") ->
         for batch in batches:
             rows = []
             for path, text in zip(batch[path_col], batch[text_col], strict=True):
-                found = EXTRACTORS.get(path.rsplit(".", 1)[-1].lower()) if path and text is not None else None
+                found = extractor(path) if path and text is not None else None
                 rows += [(*r, path) for r in found(text, path)] if found else []
             yield pd.DataFrame(rows, columns=columns)
 
