@@ -1,6 +1,7 @@
 """Chat formatting, top-k, URL filter, mixing and packing against brute force, with odd rows."""
 
 import hashlib
+import re
 from zlib import crc32
 
 import numpy as np
@@ -101,6 +102,84 @@ def test_url_ratio_on_held_out(spark):
     assert right >= 190
 
 
+def brute_url_verdicts(pages, rules):
+    """Verdicts of all pages by plain loops: rules by hand, counts in one dictionary."""
+    import math
+
+    def parts(url):
+        if not url or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        n = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+        return re.sub("[A-Z]", lambda m: m[0].lower(), rest[:n]), re.split("[?#]", rest[n:])[0]
+
+    def rule(url):
+        host, path = parts(url)
+        fits = [(len(r), r, v) for v, r in rules for d, s in [r.split("/", 1)] if (host == d or host.endswith("." + d)) and path.startswith("/" + s)]
+        return max(fits)[2] if fits else None
+
+    by = {i: rule(u) for i, u in pages}
+    classes = [sorted({u.lower() for i, u in pages if by[i] == v}) for v in ("allow", "block")]
+    held = lambda t: crc32(t.encode()) % 5 == 0
+
+    def model(texts):
+        seen = {}
+        for t in texts:
+            p = "\x02" * 5 + t + url_lm.END
+            for i in range(5, len(p)):
+                for k in range(6):
+                    seen.setdefault(p[i - k : i], []).append(p[i])
+        return seen
+
+    models = [model([t for t in c if not held(t)] or c) for c in classes]
+
+    def log_p(seen, context, char):
+        p = 1 / 256
+        for k in range(6):
+            after = seen.get(context[5 - k :])
+            if after is None:
+                break
+            p = (after.count(char) + len(set(after)) * p) / (len(after) + len(set(after)))
+        return math.log(p)
+
+    memo = {}
+
+    def score(t):
+        p = "\x02" * 5 + t + url_lm.END
+        for i in range(5, len(p)):
+            g = p[i - 5 : i + 1]
+            if g not in memo:
+                memo[g] = log_p(models[0], g[:-1], g[-1]) - log_p(models[1], g[:-1], g[-1])
+        return sum(memo[p[i - 5 : i + 1]] for i in range(5, len(p))) / (len(t) + 1)
+
+    yes, no = ([score(t) for t in c if held(t)] for c in classes)
+    cuts = sorted(set(yes + no))
+    right = lambda at: sum(s > at for s in yes) / max(1, len(yes)) + sum(s <= at for s in no) / max(1, len(no))
+    best = max(right(at) for at in [cuts[0] - 1, *cuts])
+    return {i: by[i] or ("allow" if u and score(u.lower()) > 0 else "block") for i, u in pages}, {i: score(u.lower()) for i, u in pages if u and not by[i]}, best, right
+
+
+def test_url_verdicts_against_plain_loops(spark):
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
+    df = spark.createDataFrame([*pages, (-1, None), (-2, "")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_lm.filter_urls(df, queries.URL_RULES).collect()}
+    _, scores, best, right = brute_url_verdicts(pages, queries.URL_RULES)
+    judged = {i: r for i, r in got.items() if r["score"] is not None}
+    assert judged.keys() == scores.keys() and len(judged) > 20
+    cut = {round(scores[i] - r["score"], 9) for i, r in judged.items()}
+    assert len(cut) == 1 and right(cut.pop()) == pytest.approx(best)  # one threshold, as good as any
+    assert all((r["score"] > 0) == (r["verdict"] == "allow") for r in judged.values())
+    assert got[-1]["verdict"] == got[-2]["verdict"] == "block"
+
+
+def test_many_turns_in_one_conversation(spark):
+    turns = [(1, i, "user" if i % 3 else "assistant", f"t{i} <[") for i in range(3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    back = chat.read_back(chat.format_chats(df)).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == [(r, t) for _, _, r, t in turns]
+    assert back["loss_text"] == "".join(t for _, _, r, t in turns if r == "assistant")
+
+
 def test_markov_sums_to_one():
     m = url_lm.Markov(["abc", "abd"], 3)
     for context in ("", "a", "ab", "zab", "zz"):

@@ -53,15 +53,16 @@ def format_chats(
     def message(role: Column, texts: Column) -> Column:
         return F.struct(role.alias("role"), texts.alias("texts"))
 
-    def merge(done: Column, turn: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        grown = message(last["role"], F.concat(last["texts"], F.array(turn["text"])))
-        return F.when(last["role"] == turn["role"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(
-            F.concat(done, F.array(message(turn["role"], F.array(turn["text"]))))
-        )
+    # messages: from each turn whose role isn't the one before's up to the next such turn
+    turns_ = F.col("_turns")
+    opens = lambda i: (i == 0) | (F.get(turns_, i)["role"] != F.get(turns_, i - 1)["role"])
+    merged = sorted_turns.withColumn("_opens", F.filter(F.sequence(F.lit(0), F.size("_turns") - 1), opens))
+
+    def from_to(at: Column, k: Column) -> Column:
+        until = F.coalesce(F.get(F.col("_opens"), k + 1), F.size("_turns"))
+        return message(F.get(turns_, at)["role"], F.transform(F.slice(turns_, at + 1, until - at), lambda t: t["text"]))
 
-    start = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-    merged = sorted_turns.withColumn("_messages", F.aggregate("_turns", start, merge))
+    merged = merged.withColumn("_messages", F.transform("_opens", from_to))
     escaped = merged.withColumn(
         "_messages", F.transform("_messages", lambda m: message(escape(m["role"]), F.transform(m["texts"], escape)))
     )
@@ -83,11 +84,20 @@ def format_chats(
             ),
         )
 
-    def advance(ends: Column, piece: Column) -> Column:
-        return F.concat(ends, F.array(F.element_at(ends, -1) + piece["before"] + piece["chars"] + piece["behind"]))
+    def ends(start: Column, lengths: Column) -> Column:
+        """start, and the running totals of start and lengths."""
+        return F.aggregate(lengths, F.array(start), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
 
+    # running totals in about as many blocks as a block has pieces: arrays that grow stay short
     laid = escaped.withColumn("_pieces", F.flatten(F.transform("_messages", pieces)))
-    laid = laid.withColumn("_starts", F.aggregate("_pieces", F.array(F.lit(0).cast("long")), advance))
+    laid = laid.withColumn("_lengths", F.transform("_pieces", lambda p: p["before"] + p["chars"] + p["behind"]))
+    laid = laid.withColumn("_width", F.ceil(F.sqrt(F.size("_pieces"))).cast("int"))
+    firsts = F.sequence(F.lit(0), F.size("_pieces") - 1, F.col("_width"))
+    laid = laid.withColumn("_blocks", F.transform(firsts, lambda at: F.slice("_lengths", at + 1, F.col("_width"))))
+    none = F.lit(0).cast("long")
+    laid = laid.withColumn("_before", ends(none, F.transform("_blocks", lambda b: F.aggregate(b, none, lambda x, n: x + n))))
+    inner = F.transform("_blocks", lambda b, k: F.slice(ends(F.get(F.col("_before"), k), b), F.lit(1), F.size(b)))
+    laid = laid.withColumn("_starts", F.flatten(inner))
     spans = F.transform(
         "_pieces",
         lambda p, i: F.struct((F.get(F.col("_starts"), i) + p["before"]).alias("start"), p["chars"].alias("chars"), p["loss"].alias("loss")),
