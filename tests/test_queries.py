@@ -27,12 +27,10 @@ def test_communities_cover_all_nodes_once(spark, sf_dir):
 
     found = registry.QUERIES["detected_communities"](spark, sf_dir)
     assert found.count() == found.select("id").distinct().count() > 0
-    from weftline.plans.kgview import edges
+    from weftline.plans.kgview import links, nodes
 
-    pairs = graph.simple(edges(spark, sf_dir).where("relation <> 'references'"))
-    ends = pairs.selectExpr("u as id").union(pairs.selectExpr("v")).distinct()
-    assert found.count() == ends.count()
-    assert -0.5 <= community.modularity(found, pairs).first()[0] <= 1
+    assert found.count() == nodes(spark, sf_dir).count()
+    assert -0.5 <= community.modularity(found, graph.simple(links(spark, sf_dir))).first()[0] <= 1
 
 
 def test_louvain_finds_cliques(spark):

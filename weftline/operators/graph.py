@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,53 @@ def khop(seeds: DataFrame, pairs: DataFrame, degreed: DataFrame, depth: int) ->
     return seen
 
 
+def dfs(seeds: DataFrame, pairs: DataFrame, degreed: DataFrame, depth: int) -> DataFrame:
+    """id and depth of first visit of a depth-first walk from seeds (id, in order of id) within
+    depth, neighbours by id. Nodes at or over the hub degree are visited but not gone through,
+    seeds excepted.
+
+    The walk's order depends on all of it, so it runs in one task, over the part of the graph
+    that khop() reaches from the seeds; that part is found level by level and is all the task
+    holds."""
+    ball = khop(seeds, pairs, degreed, depth)
+    hub = F.broadcast(traversal_hub(degreed))  # one row
+    inner = ball.join(degreed.select("id", "degree"), "id", "left").crossJoin(hub)
+    walked = (F.col("hop") == 0) | (F.coalesce("degree", F.lit(0)) < F.col("hub"))
+    first = checkpointed(inner.select("id", "hop", walked.alias("walked")))
+    arcs = adjacency(pairs).join(first.where("walked").select(F.col("id").alias("a")), "a").join(first.select(F.col("id").alias("b")), "b")
+    rows = first.select(F.col("id").alias("a"), F.when(F.col("hop") == 0, F.lit(None).cast("string")).alias("b"), (F.col("hop") == 0).alias("seed")).where("seed")
+    rows = rows.select("a", "b").union(arcs.select("a", "b")).withColumn("g", F.lit(0))
+
+    def walk(t: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        arcs = t[t["b"].notna()].sort_values(["a", "b"], ascending=[True, False])
+        for a, b in zip(arcs["a"], arcs["b"], strict=True):
+            near.setdefault(a, []).append(b)
+        seen: dict[str, int] = {}
+        stack = [(s, 0) for s in sorted(t[t["b"].isna()]["a"], reverse=True)]
+        while stack:
+            node, d = stack.pop()
+            if node in seen or d > depth:
+                continue
+            seen[node] = d
+            stack += [(b, d + 1) for b in near.get(node, ()) if b not in seen]
+        return pd.DataFrame({"id": list(seen), "depth": list(seen.values())})
+
+    return rows.groupBy("g").applyInPandas(walk, "id string, depth int")
+
+
+def path_lines(path: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hop, id, label and, but for the first, relation and whether the edge points forward; path:
+    hop, id. Of several edges between two nodes the first by relation is shown."""
+    step = path.select(F.col("hop"), F.col("id")).join(path.select((F.col("hop") + 1).alias("hop"), F.col("id").alias("before")), "hop", "left")
+    ends = step.where("before is not null")
+    ahead = ends.join(edges.select(F.col("src").alias("before"), F.col("dst").alias("id"), "relation"), ["before", "id"]).withColumn("forward", F.lit(True))
+    back = ends.join(edges.select(F.col("dst").alias("before"), F.col("src").alias("id"), "relation"), ["before", "id"]).withColumn("forward", F.lit(False))
+    shown = ahead.unionByName(back).groupBy("hop").agg(F.min(F.struct((~F.col("forward")).alias("_back"), "relation")).alias("e"))
+    out = step.join(shown, "hop", "left").join(nodes.select("id", "label"), "id")
+    return out.select("hop", "id", "label", F.col("e.relation").alias("relation"), (~F.col("e._back")).alias("forward"))
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids, self loops left out."""
     a, b = ids.select(F.col("id").alias("src")), ids.select(F.col("id").alias("dst"))

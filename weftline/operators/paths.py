@@ -80,5 +80,5 @@ def is_ignored(path: Column, rules: Sequence[str]) -> Column:
 def public_url(url: Column) -> Column:
     """http or https, and a host that isn't local or a private address."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    private = host.rlike(r"^(localhost|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|169\.254\..*|0\.0\.0\.0|\[?::1\]?)$")
+    private = host.rlike(r"^(localhost|(127|10)(\.\d+){3}|192\.168(\.\d+){2}|172\.(1[6-9]|2[0-9]|3[01])(\.\d+){2}|169\.254(\.\d+){2}|0\.0\.0\.0|\[?::1\]?)$")
     return url.rlike("(?i)^https?://") & (host != "") & ~private

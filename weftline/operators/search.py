@@ -122,11 +122,11 @@ def containing(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(has == len(grams))
 
 
-def within_budget(lines: DataFrame, text: str, order: Sequence[Column], tokens_: int, per_token: int = 3, head: int = 10_000) -> DataFrame:
+def within_budget(lines: DataFrame, text: str, order: Sequence[Column], tokens_: int, per_token: int = 3) -> DataFrame:
     """The first lines, in order, whose characters with line ends fit tokens_ * per_token. A
-    line has one character at least, so no more than that many lines can fit and only those
-    are ranked on one task."""
+    line counts for one character at least, so no more than that many lines can fit and only
+    those are ranked on one task."""
     room = tokens_ * per_token
-    first = lines.orderBy(*order).limit(min(head, room))
+    first = lines.orderBy(*order).limit(room)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return first.withColumn("used", F.sum(F.length(text) + 1).over(w)).where(F.col("used") <= room)

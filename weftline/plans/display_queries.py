@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import display as D
 from ..operators import fragments as R
 from ..operators import linking as L
-from .kgview import edges, kg, nodes, table
+from .kgview import edges, kg, links, nodes, table
 from .registry import query
 
 LABEL = """CASE p_partkey % 9 WHEN 0 THEN '.' || lower(p_brand) || '()' WHEN 1 THEN 'src/' || p_partkey || '.py' WHEN 2 THEN '' WHEN 3 THEN p_name || ' ' || p_name || ' ' || p_type
@@ -59,7 +59,7 @@ def node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("relation_names", kg(" SELECT relation, CASE relation WHEN 'imports_from' THEN 'imports' ELSE replace(relation, '_', ' ') END AS name, count(*) AS n FROM edges GROUP BY relation"))
 def relation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n")).select("relation", D.relation_name(F.col("relation")).alias("name"), "n")
+    return links(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n")).select("relation", D.relation_name(F.col("relation")).alias("name"), "n")
 
 
 BUILTIN = {"k": "p_partkey", "label": "CASE p_partkey % 5 WHEN 0 THEN 'Path' WHEN 1 THEN 'path' WHEN 2 THEN 'MagicMock' WHEN 3 THEN p_brand ELSE 'UUID' END"}
@@ -343,8 +343,8 @@ def flow_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     top = nodes(spark, sf_dir).select("id", F.substring_index("source_file", "/", 1).alias("s"))
     order = top.select(F.col("s").alias("section")).distinct().withColumn("k", F.row_number().over(Window.orderBy("section")))
-    links = edges(spark, sf_dir).join(top.select(F.col("id").alias("src"), F.col("s").alias("sa")), "src").join(top.select(F.col("id").alias("dst"), F.col("s").alias("sb")), "dst")
-    chain = L.flow_chain(order, links.groupBy("sa", "sb").agg(F.count("*").alias("n")))
+    met = links(spark, sf_dir).join(top.select(F.col("id").alias("src"), F.col("s").alias("sa")), "src").join(top.select(F.col("id").alias("dst"), F.col("s").alias("sb")), "dst")
+    chain = L.flow_chain(order, met.groupBy("sa", "sb").agg(F.count("*").alias("n")))
     return spark.createDataFrame([(chain[0], len(chain))] if chain else [], "start string, n_sections long")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from .kgview import edges, kg, nodes, table
+from .kgview import kg, links, nodes, table
 from .registry import query
 
 ENTITY_SQL = """source_file <> '' AND contains(parse_filename(source_file), '.')
@@ -15,7 +15,7 @@ ENTITY_SQL = """source_file <> '' AND contains(parse_filename(source_file), '.')
 
 
 def degreed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(nodes(spark, sf_dir), G.simple(edges(spark, sf_dir)))
+    return G.degrees(nodes(spark, sf_dir), G.simple(links(spark, sf_dir)))
 
 
 @query("god_nodes", kg(f"SELECT id, label, degree FROM degree WHERE {ENTITY_SQL} ORDER BY degree DESC, id LIMIT 10"))
@@ -51,7 +51,7 @@ def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
  cast(round_even(100.0 * count(*) FILTER (confidence = 'AMBIGUOUS') / count(*), 0) AS INTEGER) AS ambiguous_pct FROM edges"""),
 )
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    n, e = nodes(spark, sf_dir), links(spark, sf_dir)
     share = lambda c: F.bround(100.0 * F.count_if(F.col("confidence") == c) / F.count("*")).cast("int").alias(f"{c.lower()}_pct")
     by_node = n.agg(F.count("*").alias("n_nodes"), F.countDistinct("community").alias("n_communities"))
     by_pair = G.simple(e).agg(F.count("*").alias("n_edges"))
@@ -67,7 +67,7 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.build import default_confidence
 
-    by = edges(spark, sf_dir).withColumn("s", default_confidence(F.lit(None).cast("double"), F.col("confidence")))
+    by = links(spark, sf_dir).withColumn("s", default_confidence(F.lit(None).cast("double"), F.col("confidence")))
     counted = by.groupBy("confidence").agg(F.count("*").alias("n"), F.avg("s").alias("avg_score"))
     total = counted.agg(F.sum("n").alias("total"))
     return counted.crossJoin(total).select("confidence", "n", F.bround(100.0 * F.col("n") / F.col("total"), 1).alias("pct"), "avg_score")
@@ -75,7 +75,7 @@ def confidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("relation_histogram", kg("SELECT relation, context, count(*) AS n, sum(weight) AS weight FROM edges GROUP BY ALL"))
 def relation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy("relation", "context").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    return links(spark, sf_dir).groupBy("relation", "context").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 @query(
@@ -85,7 +85,7 @@ def relation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT 'in', src, relation, confidence FROM edges WHERE dst = 'part_7') x JOIN nodes n USING (id)"""),
 )
 def neighbors_out_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbours(edges(spark, sf_dir), nodes(spark, sf_dir), "part_7")
+    return G.neighbours(links(spark, sf_dir), nodes(spark, sf_dir), "part_7")
 
 
 HUB_SQL = """ h AS (SELECT greatest(50, (SELECT degree FROM (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS k, count(*) OVER () AS n FROM degree)
@@ -100,7 +100,7 @@ BFS_SQL = f"""{HUB_SQL},
 
 
 def reached(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    pairs = G.simple(edges(spark, sf_dir))
+    pairs = G.simple(links(spark, sf_dir))
     seeds = spark.createDataFrame([("part_7",)], "id string")
     return G.khop(seeds, pairs, G.degrees(nodes(spark, sf_dir), pairs), depth)
 
@@ -116,7 +116,7 @@ def bfs_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE src <> dst AND src IN (SELECT id FROM b2) AND dst IN (SELECT id FROM b2) GROUP BY ALL"""),
 )
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.induced(edges(spark, sf_dir), reached(spark, sf_dir, 2).select("id"))
+    found = G.induced(links(spark, sf_dir), reached(spark, sf_dir, 2).select("id"))
     return found.groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
 
 
@@ -127,7 +127,7 @@ def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT min(hop) AS hops FROM lv WHERE id = 'part_1' HAVING min(hop) IS NOT NULL"""),
 )
 def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = G.shortest_path(edges(spark, sf_dir), "customer_1", "part_1", directed=False)
+    path = G.shortest_path(links(spark, sf_dir), "customer_1", "part_1", directed=False)
     return path.groupBy().agg(F.max("hop").alias("hops")).where("hops is not null")
 
 
@@ -141,7 +141,7 @@ def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def affected_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = spark.createDataFrame([("supplier_3",)], "id string")
-    return G.impact(edges(spark, sf_dir), seed, ("calls", "uses", "imports_from", "references"))
+    return G.impact(links(spark, sf_dir), seed, ("calls", "uses", "imports_from", "references"))
 
 
 @query(
@@ -166,7 +166,7 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT c.direction, c.id, c.relation, d.degree FROM c JOIN degree d USING (id) ORDER BY d.degree DESC, id LIMIT 20"""),
 )
 def explain_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    e, n = links(spark, sf_dir), nodes(spark, sf_dir)
     near = G.neighbours(e.where("dst = 'supplier_3'"), n, "supplier_3").select("direction", "id", "relation").distinct()
     ranked = near.join(degreed(spark, sf_dir).select("id", "degree"), "id")
     return ranked.orderBy(F.desc("degree"), "id").limit(20).select("direction", "id", "relation", "degree")
@@ -180,7 +180,7 @@ def explain_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def connection_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    near = G.neighbours(edges(spark, sf_dir), n, "supplier_3").select("direction", "id").distinct()
+    near = G.neighbours(links(spark, sf_dir), n, "supplier_3").select("direction", "id").distinct()
     return near.join(n.select("id", "source_file"), "id").groupBy("direction", "source_file").agg(F.count("*").alias("n"))
 
 
@@ -201,4 +201,4 @@ def connection_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surprising_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.analyze import surprises
 
-    return surprises(edges(spark, sf_dir), degreed(spark, sf_dir), top=50)
+    return surprises(links(spark, sf_dir), degreed(spark, sf_dir), top=50)

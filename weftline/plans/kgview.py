@@ -56,7 +56,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges() without source_file: keys alone make them, so that no table is joined. Each key
+    names a row of its table, so the rows are the same."""
+    return _edges(spark, sf_dir, files=False).drop("source_file")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir, files=True)
+
+
+def _edges(spark: SparkSession, sf_dir: str, files: bool) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     no_weight, no_place = F.lit(1.0), F.lit(None).cast("string")
 
@@ -70,8 +80,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "N", "EXTRACTED").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("AMBIGUOUS")
     line = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))
     item = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
-    sold = item.join(t("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    made = item.join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = item.join(t("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")) if files else item
+    made = item.join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")) if files else item
     crm = F.concat(F.lit("crm/"), F.lower("c_mktsegment"), F.lit(".py"))
     scm = F.concat(F.lit("scm/n"), F.col("s_nationkey").cast("string"), F.lit(".java"))
     kinds = [
@@ -79,8 +89,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(t("customer"), _id("customer", "c_custkey"), _id("nation", "c_nationkey"), "references", "field", sure, no_weight, crm, no_place),
         row(t("supplier"), _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), "references", "field", sure, no_weight, scm, no_place),
         row(t("orders"), _id("order", "o_orderkey"), _id("customer", "o_custkey"), "imports_from", "import", sure, no_weight, _order_file(), no_place),
-        row(sold, _id("order", "l_orderkey"), _id("part", "l_partkey"), "calls", "call", flag, F.col("l_quantity"), _order_file(), line),
-        row(made, _id("part", "l_partkey"), _id("supplier", "l_suppkey"), "uses", "parameter_type", flag, F.col("l_quantity"), part_file(), line),
+        row(sold, _id("order", "l_orderkey"), _id("part", "l_partkey"), "calls", "call", flag, F.col("l_quantity"), _order_file() if files else no_place, line),
+        row(made, _id("part", "l_partkey"), _id("supplier", "l_suppkey"), "uses", "parameter_type", flag, F.col("l_quantity"), part_file() if files else no_place, line),
     ]
     out = kinds[0]
     for k in kinds[1:]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merging as M
-from .kgview import edges, kg, nodes, table
+from .kgview import edges, kg, links, nodes, table
 from .registry import query
 
 OLD_SQL = ", old AS (SELECT * FROM nodes WHERE NOT (starts_with(id, 'order_') AND source_file = 'sales/y2001.py')), new AS (SELECT * FROM nodes WHERE NOT (starts_with(id, 'order_') AND source_file = 'sales/y1995.py'))"
@@ -71,7 +71,7 @@ def repo_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.build import prune_dangling
 
     kept = nodes(spark, sf_dir).where("length(id) % 3 <> 1")
-    return prune_dangling(kept, edges(spark, sf_dir)).groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
+    return prune_dangling(kept, links(spark, sf_dir)).groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
 
 
 @query("topology_equal", kg(OLD_SQL + " SELECT (SELECT count(*) FROM (FROM (SELECT id FROM old) EXCEPT FROM (SELECT id FROM new))) = 0 AND (SELECT count(*) FROM (FROM (SELECT id FROM new) EXCEPT FROM (SELECT id FROM old))) = 0 AS equal"))
@@ -139,4 +139,4 @@ def label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT DISTINCT coalesce(a.dest, src) AS src, coalesce(b.dest, dst) AS dst, relation FROM edges LEFT JOIN m a ON a.id = src LEFT JOIN m b ON b.id = dst WHERE coalesce(a.dest, src) <> coalesce(b.dest, dst)"""),
 )
 def dedup_remap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.remap_edges(edges(spark, sf_dir), label_mapping(spark, sf_dir))
+    return M.remap_edges(links(spark, sf_dir), label_mapping(spark, sf_dir))

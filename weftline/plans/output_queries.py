@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..sinks import formats as W
-from .kgview import edges, kg, nodes
+from .kgview import kg, links, nodes
 from .registry import query
 
 
@@ -18,7 +18,7 @@ from .registry import query
  UNION ALL SELECT 'MATCH (a {id: ''' || src || '''}), (b {id: ''' || dst || '''}) MERGE (a)-[:' || upper(relation) || ' {confidence: ''' || confidence || '''}]->(b);' FROM edges) GROUP BY line"""),
 )
 def to_cypher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.cypher(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("line").agg(F.count("*").alias("n")).select(F.md5("line").alias("sig"), "n")
+    return W.cypher(nodes(spark, sf_dir), links(spark, sf_dir)).groupBy("line").agg(F.count("*").alias("n")).select(F.md5("line").alias("sig"), "n")
 
 
 @query(
@@ -28,7 +28,7 @@ def to_cypher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="relation">' || relation || '</data></edge>' FROM edges) GROUP BY line"""),
 )
 def graphml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.graphml(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("line").agg(F.count("*").alias("n"))
+    return W.graphml(nodes(spark, sf_dir), links(spark, sf_dir)).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -38,19 +38,23 @@ def graphml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'link', '{"source":"' || src || '","target":"' || dst || '","relation":"' || relation || '","confidence":"' || confidence || '"}' FROM edges) GROUP BY ALL"""),
 )
 def node_link_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.node_link(nodes(spark, sf_dir), edges(spark, sf_dir)).groupBy("kind", "json").agg(F.count("*").alias("n"))
+    return W.node_link(nodes(spark, sf_dir), links(spark, sf_dir)).groupBy("kind", "json").agg(F.count("*").alias("n"))
 
 
 @query(
     "graph_json_roundtrip",
-    kg(""" SELECT file_type, count(*) AS n, count(DISTINCT community) AS n_communities FROM nodes GROUP BY file_type"""),
+    kg(""" SELECT 'node' AS what, file_type AS kind, count(*) AS n, count(DISTINCT community) AS n_different FROM nodes GROUP BY file_type
+ UNION ALL SELECT 'link', relation || ' ' || confidence, count(*), count(DISTINCT src || '>' || dst) FROM edges GROUP BY relation, confidence"""),
 )
 def graph_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was written as JSON objects, read again."""
-    from ..sources.graph_json import parse_nodes
+    from ..sources.graph_json import parse_links, parse_nodes
 
-    back = parse_nodes(W.node_link(nodes(spark, sf_dir), edges(spark, sf_dir).limit(0)).select("json"))
-    return back.groupBy("file_type").agg(F.count("*").alias("n"), F.countDistinct("community").alias("n_communities"))
+    written = W.node_link(nodes(spark, sf_dir), links(spark, sf_dir))
+    n, e = parse_nodes(written.where("kind = 'node'").select("json")), parse_links(written.where("kind = 'link'").select("json"))
+    by_type = n.groupBy(F.col("file_type").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("community").alias("n_different"))
+    by_relation = e.groupBy(F.concat_ws(" ", "relation", "confidence").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct(F.concat_ws(">", "src", "dst")).alias("n_different"))
+    return by_type.select(F.lit("node").alias("what"), "kind", "n", "n_different").union(by_relation.select(F.lit("link"), "kind", "n", "n_different"))
 
 
 @query(
@@ -60,7 +64,7 @@ def graph_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT n.id, md5('# ' || label || chr(10) || chr(10) || coalesce(links, '')) AS sig FROM nodes n LEFT JOIN l USING (id)"""),
 )
 def wiki_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.wiki_links(nodes(spark, sf_dir), edges(spark, sf_dir)).select("id", F.md5("note").alias("sig"))
+    return W.wiki_links(nodes(spark, sf_dir), links(spark, sf_dir)).select("id", F.md5("note").alias("sig"))
 
 
 @query(
@@ -78,20 +82,20 @@ def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def section_edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = nodes(spark, sf_dir).select("id", F.substring_index("source_file", "/", 1).alias("s"))
-    e = edges(spark, sf_dir).join(top.withColumnsRenamed({"id": "src", "s": "sa"}), "src").join(top.withColumnsRenamed({"id": "dst", "s": "sb"}), "dst")
+    e = links(spark, sf_dir).join(top.withColumnsRenamed({"id": "src", "s": "sa"}), "src").join(top.withColumnsRenamed({"id": "dst", "s": "sb"}), "dst")
     return e.groupBy("sa", "sb").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("relation")), ",").alias("relations"))
 
 
 @query(
     "diagram_sizes",
-    kg(" SELECT id, round(10 + 30.0 * degree / (SELECT max(degree) FROM degree), 6) AS size FROM degree WHERE degree >= 60"),
+    kg(" SELECT id, round(10 + 30.0 * degree / (SELECT max(degree) FROM degree), 6) AS size FROM degree"),
 )
 def diagram_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph_queries import degreed
 
     d = degreed(spark, sf_dir)
     most = F.broadcast(d.agg(F.max("degree").alias("most")))  # one row
-    return d.where("degree >= 60").crossJoin(most).select("id", F.round(10 + 30.0 * F.col("degree") / F.col("most"), 6).alias("size"))
+    return d.crossJoin(most).select("id", F.round(10 + 30.0 * F.col("degree") / F.col("most"), 6).alias("size"))
 
 
 @query(
@@ -100,7 +104,7 @@ def diagram_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir).agg(F.count("*").alias("n_nodes"), F.countDistinct("source_file").alias("n_files"))
-    stats = n.crossJoin(G.simple(edges(spark, sf_dir)).agg(F.count("*").alias("n_edges")))  # one row each
+    stats = n.crossJoin(G.simple(links(spark, sf_dir)).agg(F.count("*").alias("n_edges")))  # one row each
     return W.report_lines(stats.select("n_nodes", "n_edges", "n_files"))
 
 

@@ -11,25 +11,32 @@ from ..operators import community as C
 from ..operators import graph as G
 from ..operators import paths as P
 from .graph_queries import degreed
-from .kgview import edges, kg, nodes, table
+from .kgview import kg, links, nodes, table
 from .registry import query
 
-FILE_SQL = """files AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'src/tests/a' || doc_id || '.py' WHEN 1 THEN 'lib/node_modules/x.js' WHEN 2 THEN 'app/.env' WHEN 3 THEN 'app/.env.example'
- WHEN 4 THEN 'web/user.spec.ts' WHEN 5 THEN 'conf/credentials.json' WHEN 6 THEN 'src/token_store.py' WHEN 7 THEN 'home/.ssh/known' ELSE 'docs/contest.md' END AS path FROM documents)"""
+#: Twelve folders by seventeen names, in SQL that both engines read.
+FOLDERS = ("src", "src/tests", "lib/node_modules/pkg", "app", "Web/__Tests__", "conf", "home/.ssh", "docs", "Spec/x", "a/b/c", "x/.git/hooks", "target/debug")
+NAMES = (
+    "a@.py", "test_x@.py", "y@_test.go", "user@.spec.ts", ".env", ".env.example", ".env.local", "id_rsa", "server@.pem", "credentials.json", "token_store@.py",
+    "passwords@.txt", "contest@.md", "Foo@Tests.java", "thing@_spec.rb", "notes@.rst", "scan@.pdf",
+)
+PATH = (
+    "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{f}/'" for i, f in enumerate(FOLDERS)) + " END || CASE cast(floor(doc_id / 12) AS INT) % 17 "
+    + " ".join(f"WHEN {i} THEN replace('{n}', '@', cast(doc_id AS STRING))" for i, n in enumerate(NAMES)) + " END"
+)
+FILE_SQL = f"""files AS (SELECT *, segs[-1] AS name, list_transform(segs, lambda s: lower(s)) AS low FROM (SELECT doc_id, path, string_split(path, '/') AS segs FROM (SELECT doc_id, {PATH} AS path FROM documents)))"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 9
-    names = ["lib/node_modules/x.js", "app/.env", "app/.env.example", "web/user.spec.ts", "conf/credentials.json", "src/token_store.py", "home/.ssh/known"]
-    path = F.when(k == 0, F.concat(F.lit("src/tests/a"), F.col("doc_id").cast("string"), F.lit(".py")))
-    for i, n in enumerate(names, 1):
-        path = path.when(k == i, n)
-    return table(spark, sf_dir, "documents").select("doc_id", path.otherwise("docs/contest.md").alias("path"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{PATH} AS path")
 
 
 @query(
     "path_predicates",
-    f"WITH {FILE_SQL} SELECT doc_id, doc_id % 9 IN (0, 4) AS test, doc_id % 9 = 1 AS noise, doc_id % 9 IN (2, 5, 7) AS sensitive, split_part(path, '/', 1) AS top FROM files",
+    rf"""WITH {FILE_SQL} SELECT doc_id, list_has_any(low, ['tests', 'test', 'spec', 'specs', '__tests__']) OR regexp_matches(lower(name), '^test_.*\.py$|_test\.(py|go|rb|cc|cpp)$|\.(test|spec)\.(js|jsx|ts|tsx|mjs)$|tests?\.(java|cs|kt|swift)$|_spec\.rb$') AS test,
+ list_has_any(segs, ['node_modules', '.git', 'target']) AS noise,
+ list_contains(low, '.ssh') OR (regexp_matches(name, '^\.env(\..+)?$|\.pem$|^id_rsa') AND NOT ends_with(name, '.example')) OR (regexp_matches(lower(name), '(^|[._-])(credentials?|secrets?|passwords?|token)([._-]|$)') AND NOT regexp_matches(name, '\.(py|go|ts|java|rb)$')) AS sensitive,
+ segs[1] AS top FROM files""",
 )
 def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
@@ -39,14 +46,18 @@ def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ignore_rules",
-    f"WITH {FILE_SQL} SELECT doc_id, CASE WHEN contains(path, 'node_modules/') OR ends_with(path, '.md') THEN true WHEN starts_with(path, 'src/') AND ends_with(path, '.py') THEN path NOT LIKE 'src/token%' ELSE false END AS ignored FROM files",
+    f"""WITH {FILE_SQL} SELECT doc_id, list_contains(segs, 'node_modules') OR list_contains(segs[:-2], 'debug') OR ends_with(name, '.md') OR (segs[1] = 'src' AND ends_with(name, '.py') AND NOT starts_with(name, 'token'))
+ OR (regexp_matches(path, '^conf/.*$') AND ends_with(name, '.json')) AS ignored FROM files""",
 )
 def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = ["node_modules/", "*.md", "/src/**/*.py", "!token*.py"]
+    rules = ["node_modules/", "target/**", "*.md", "/src/**/*.py", "conf/*.json", "!token*.py"]
     return files(spark, sf_dir).select("doc_id", P.is_ignored(F.col("path"), rules).alias("ignored"))
 
 
-@query("file_categories", f"WITH {FILE_SQL} SELECT CASE WHEN regexp_matches(path, '\\.(py|js|ts)$') THEN 'code' ELSE 'doc' END AS category, count(*) AS n FROM files GROUP BY 1")
+@query(
+    "file_categories",
+    rf"""WITH {FILE_SQL} SELECT CASE WHEN regexp_matches(name, '\.(py|go|ts|java|rb)$') THEN 'code' WHEN ends_with(name, '.pdf') THEN 'paper' ELSE 'doc' END AS category, count(*) AS n FROM files GROUP BY 1""",
+)
 def file_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).groupBy(A.file_category(F.col("path")).alias("category")).agg(F.count("*").alias("n"))
 
@@ -58,12 +69,16 @@ def top_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "url_safety",
-    r"""SELECT page_id, page_id % 5 NOT IN (1, 2) AS safe FROM pages""",
+    r"""WITH u AS (SELECT page_id, CASE page_id % 13 WHEN 1 THEN 'http://192.168.' || page_id % 256 || '.7/x' WHEN 2 THEN 'ftp://h/' || page_id WHEN 3 THEN 'https://LocalHost:8080/' WHEN 4 THEN 'http://user@10.1.2.' || page_id % 256 || '/'
+ WHEN 5 THEN 'http://172.' || (12 + page_id % 24) || '.0.1/' WHEN 6 THEN 'HTTPS://example.org?q=127.0.0.1' WHEN 7 THEN 'http:///x' WHEN 8 THEN 'http://127.0.0.1.example.com/' WHEN 9 THEN 'javascript:alert(1)' WHEN 10 THEN 'http://169.254.169.254/' ELSE url END AS url FROM pages),
+ h AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)', 2)) AS host FROM u)
+ SELECT page_id, regexp_matches(lower(url), '^https?://') AND host <> '' AND host <> 'localhost' AND NOT (regexp_full_match(host, '[0-9.]+') AND (split_part(host, '.', 1) IN ('127', '10') OR starts_with(host, '192.168.')
+  OR starts_with(host, '169.254.') OR (starts_with(host, '172.') AND try_cast(split_part(host, '.', 2) AS INT) BETWEEN 16 AND 31))) AS safe FROM h""",
 )
 def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id") % 5
-    url = F.when(k == 1, "http://192.168.0.7/x").when(k == 2, F.concat(F.lit("ftp://"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", P.public_url(url).alias("safe"))
+    url = """CASE page_id % 13 WHEN 1 THEN 'http://192.168.' || page_id % 256 || '.7/x' WHEN 2 THEN 'ftp://h/' || page_id WHEN 3 THEN 'https://LocalHost:8080/' WHEN 4 THEN 'http://user@10.1.2.' || page_id % 256 || '/'
+ WHEN 5 THEN 'http://172.' || (12 + page_id % 24) || '.0.1/' WHEN 6 THEN 'HTTPS://example.org?q=127.0.0.1' WHEN 7 THEN 'http:///x' WHEN 8 THEN 'http://127.0.0.1.example.com/' WHEN 9 THEN 'javascript:alert(1)' WHEN 10 THEN 'http://169.254.169.254/' ELSE url END"""
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"{url} AS url").select("page_id", P.public_url(F.col("url")).alias("safe"))
 
 
 @query(
@@ -89,7 +104,7 @@ def knowledge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     isolated = d.where((F.col("degree") <= 1) & ~G.is_file_node() & ~G.is_concept()).agg(F.count("*").alias("isolated"))
     real = d.groupBy("source_file").agg(F.count_if(~F.col("label").endswith("()")).alias("n"))
     thin = real.agg(F.count_if(F.col("n") < 3).alias("thin"))
-    share = edges(spark, sf_dir).agg((100.0 * F.count_if(F.col("confidence") == "AMBIGUOUS") / F.count("*") > 20).alias("ambiguous"))
+    share = links(spark, sf_dir).agg((100.0 * F.count_if(F.col("confidence") == "AMBIGUOUS") / F.count("*") > 20).alias("ambiguous"))
     return isolated.crossJoin(thin).crossJoin(share)  # one row each
 
 
@@ -102,7 +117,7 @@ def knowledge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT * FROM amb UNION ALL SELECT * FROM inf UNION ALL SELECT * FROM iso"""),
 )
 def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, d = edges(spark, sf_dir), degreed(spark, sf_dir)
+    e, d = links(spark, sf_dir), degreed(spark, sf_dir)
     unsure = e.where("confidence = 'AMBIGUOUS'").groupBy(F.concat(F.least("src", "dst"), F.lit("~"), F.greatest("src", "dst")).alias("key")).agg(F.count("*").alias("n"))
     unsure = unsure.orderBy(F.desc("n"), "key").limit(3).select(F.lit("ambiguous_edge").alias("kind"), "key", "n")
     top = d.where(~G.is_file_node()).orderBy(F.desc("degree"), "id").limit(5).select("id")
@@ -112,11 +127,16 @@ def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unsure.union(inferred).union(alone.select(F.lit("isolated_nodes"), F.lit(""), "n"))
 
 
-@query("json_replies", """SELECT event_id, cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+@query(
+    "json_replies",
+    """SELECT event_id, CASE WHEN event_id % 5 < 4 THEN cast(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""",
+)
 def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.concat(F.lit("Sure, here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
-    found = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "k long")
-    return table(spark, sf_dir, "events").select("event_id", found["k"].alias("k"))
+    """Replies that are fenced, bare, wrapped in prose, or no JSON."""
+    reply = """CASE event_id % 5 WHEN 0 THEN 'Sure, here it is:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.' WHEN 1 THEN props WHEN 2 THEN 'The answer is ' || props
+ WHEN 3 THEN chr(10) || '```' || chr(10) || props || '```' ELSE 'I can not { do this' END"""
+    found = F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), "k long")
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{reply} AS reply").select("event_id", found["k"].alias("k"))
 
 
 @query("config_edges", """SELECT DISTINCT 'server_' || (event_id % 50) AS src, 'key_' || unnest(json_keys(props)) AS dst, 'requires_env' AS relation FROM events""")
@@ -273,10 +293,10 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.centrality import betweenness
 
-    return betweenness(G.simple(edges(spark, sf_dir)))
+    return betweenness(G.simple(links(spark, sf_dir)))
 
 
 @query("split_oversized", None)
 def split_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities with over a quarter of all nodes, detected again within themselves."""
-    return C.split_large(nodes(spark, sf_dir).select("id", "community"), G.simple(edges(spark, sf_dir)))
+    return C.split_large(nodes(spark, sf_dir).select("id", "community"), G.simple(links(spark, sf_dir)))

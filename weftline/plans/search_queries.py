@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from .kgview import edges, kg, nodes, table
+from .kgview import kg, links, nodes, table
 from .registry import query
 
 TERMS = S.query_terms("How is the small bolt part used?")
@@ -114,7 +114,7 @@ def query_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms, scores, seeds, traversal and rendering in one plan."""
     from ..operators import graph as G
 
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    n, e = nodes(spark, sf_dir), links(spark, sf_dir)
     pairs = G.simple(e)
     degreed = G.degrees(n, pairs)
     found = G.khop(S.seeds(S.ranked(n, TERMS)), pairs, degreed, 2).join(degreed, "id")

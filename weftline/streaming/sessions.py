@@ -5,7 +5,7 @@ The functions take and return DataFrames and work on a batch and on a stream ali
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -17,12 +17,33 @@ def debounced(events: DataFrame, gap: str, time: str = "ts", key: str | None = N
     stream, Spark asks for a key."""
     if late:
         events = events.withWatermark(time, late)
+    if not key and not events.isStreaming:
+        return _debounced_at_once(events, gap, time)
     keys = [F.session_window(time, gap).alias("w"), *([F.col(key)] if key else [])]
     kinds = F.array_sort(F.collect_set("event_type"))
     g = events.groupBy(*keys).agg(F.count("*").alias("n"), kinds.alias("kinds"))
     return g.select(*([key] if key else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "kinds")
 
 
+def _debounced_at_once(events: DataFrame, gap: str, time: str, bucket: str = "1 hour") -> DataFrame:
+    """debounced() of a whole table without a key, in many tasks: batches within buckets of time
+    first; only the first and the last of each bucket, two rows a bucket, can go on into
+    another, and those are put in order and joined."""
+    # stored before it is read in part: Spark doesn't merge sessions of which only the start is read
+    parts = checkpointed(debounced(events.withColumn("_bucket", F.window(time, bucket)["start"]), gap, time, "_bucket"))
+    ends = parts.groupBy("_bucket").agg(F.min("start").alias("_first"), F.max("start").alias("_last"))
+    parts = parts.join(ends, "_bucket")
+    at_end = (F.col("start") == F.col("_first")) | (F.col("start") == F.col("_last"))
+    inner = parts.where(~at_end).select("start", "end", "n", "kinds")
+    order = Window.orderBy("start")
+    goes_on = (F.lag("_bucket").over(order) != F.col("_bucket")) & (F.lag("end").over(order) >= F.col("start"))
+    outer = parts.where(at_end).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    outer = outer.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds"))))
+    joined = outer.groupBy("_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), kinds.alias("kinds"))
+    return inner.unionByName(joined.drop("_group"))
+
+
 def triggers(batches: DataFrame, code: tuple[str, ...]) -> DataFrame:
     """batches with rebuild (a kind of code is in it) and notify (another one is)."""
     known = F.array(*map(F.lit, code))
