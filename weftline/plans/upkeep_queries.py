@@ -188,3 +188,33 @@ def _with_lessons() -> None:
 
 
 _with_lessons()
+
+
+COLUMNS = {"name": "'t' || s_nationkey", "`column`": "'c' || s_suppkey", "position": "s_suppkey % 1000", "type": "CASE s_suppkey % 3 WHEN 0 THEN 'INT' WHEN 1 THEN 'TEXT' ELSE 'DATE' END", "nullable": "s_suppkey % 2 = 0"}
+
+
+@query(
+    "catalog_ddl",
+    """WITH c AS (SELECT 't' || s_nationkey AS name, string_agg('  c' || s_suppkey || ' ' || CASE s_suppkey % 3 WHEN 0 THEN 'INT' WHEN 1 THEN 'TEXT' ELSE 'DATE' END || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY s_suppkey % 1000, s_suppkey::VARCHAR) AS cs FROM supplier GROUP BY 1),
+ k AS (SELECT 't' || s_nationkey AS name, string_agg('  FOREIGN KEY (c' || s_suppkey || ') REFERENCES t' || (s_nationkey + 1) % 25 || '(id)', ',' || chr(10) ORDER BY 'c' || s_suppkey) AS ks FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1)
+ SELECT name, md5('CREATE TABLE ' || name || ' (' || chr(10) || cs || coalesce(',' || chr(10) || ks, '') || chr(10) || ');') AS sig FROM c LEFT JOIN k USING (name)""",
+)
+def catalog_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.catalog import ddl
+
+    keys = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").selectExpr("'t' || s_nationkey AS name", "'c' || s_suppkey AS `column`", "'t' || ((s_nationkey + 1) % 25) AS to", "'id' AS to_column")
+    return ddl(given(spark, sf_dir, "supplier", **COLUMNS), keys).select("name", F.md5("ddl").alias("sig"))
+
+
+@query(
+    "language_passes",
+    kg(""" SELECT relation, count(*) AS n FROM (SELECT CASE WHEN ends_with(source_file, '.java') THEN 'java_' || relation WHEN ends_with(source_file, '.md') THEN NULL ELSE relation END AS relation FROM edges) WHERE relation IS NOT NULL GROUP BY relation"""),
+)
+def language_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.passes import Passes
+    from .kgview import edges
+
+    passes = Passes()
+    passes.add("java", [".java"], lambda e: e.withColumn("relation", F.concat(F.lit("java_"), "relation")))
+    passes.add("notes", ["md", "MDX"], lambda e: e.limit(0))
+    return passes.apply(edges(spark, sf_dir)).groupBy("relation").agg(F.count("*").alias("n"))
