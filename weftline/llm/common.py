@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "quoted", "sampled", "table", "tidy", "unused", "usable_vector"]
+__all__ = ["WORD", "checkpointed", "crc_mod", "matrix", "quoted", "sampled", "sliced", "table", "tidy", "unused", "usable_vector"]
 
 #: A word is a longest run of anything but these six characters (a Java regex class).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,16 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def sliced(batch: pa.RecordBatch, *columns: int, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts in the columns have at most so many bytes together, or one row."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100 for c in columns)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def tidy() -> None:
     """Gives memory that is free again back to the system, which a worker that lives on would
     keep: Arrow's pool and, where there is one, the C library's."""

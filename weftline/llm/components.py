@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..session import stored
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of all ids that have an edge a-b.
 
     Each round links all larger neighbours of a node, then all smaller ones, to the smallest
@@ -52,20 +52,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     keys can be split. Rounds stop when nothing changes. Edges with a null end are dropped.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    now = checkpointed(contracted(pairs).where("a <> b").distinct())
+    now = stored(contracted(pairs).where("a <> b").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         ordered = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = ordered.groupBy("u").agg(F.min("v").alias("m"))
         small = ordered.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = checkpointed(contracted(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))).distinct())
+        now = stored(contracted(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

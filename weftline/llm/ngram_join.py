@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, tidy, unused
+from .common import checkpointed, sliced, tidy, unused
 from .components import components, smallest_reachable
 
 TREES, DEPTH = 32, 8
@@ -245,8 +245,8 @@ def grouped(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                yield sketches(batch.slice(at, 500), words, depth)
+            for part in sliced(batch, 3):
+                yield sketches(part, words, depth)
                 tidy()
 
     drawn = checkpointed(rows.mapInArrow(sketch, SKETCH))
@@ -271,8 +271,7 @@ def grouped(
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in sliced(whole, 4, 5):
                 m = batch.num_rows
                 rolled, doc = shingle_sets(pa.concat_arrays([batch.column(4), batch.column(5)]), words)
                 n = np.bincount(doc, minlength=2 * m)
@@ -281,7 +280,7 @@ def grouped(
                 common = np.bincount(pair[order][1:][same], minlength=m)
                 found = batch.select(["cls_a", "cls_b", "n_a", "n_b"]).append_column("s", pa.array(common / np.maximum(1, n[:m] + n[m:] - common)))
                 yield found.filter(pa.array(is_near(common, n[:m], n[m:], threshold)))
-            tidy()
+                tidy()
 
     left, right = (texts.select(F.col("cls").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     linked, done = None, None
@@ -303,13 +302,12 @@ def grouped(
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in sliced(whole, 3):
                 rolled, doc = shingle_sets(batch.column(3), words)
                 ends = np.append(0, np.cumsum(np.bincount(doc, minlength=batch.num_rows)) * 8).astype(np.int32)
                 sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(rolled)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], ["cls", "n", "size", "shingles"])
-            tidy()
+                tidy()
 
     band = F.floor(F.log(F.col("size")) / (math.log(1 / threshold) * 1.001)).cast("long")  # near sets lie in neighbouring ones
     members = texts.join(crowds, "cls", "left_semi").mapInArrow(hashed, "cls long, n long, size int, shingles binary")
@@ -320,7 +318,9 @@ def grouped(
     around = beside.groupBy("crowd", "band").agg(F.collect_list(F.struct("to", "to_blocks")).alias("around")).join(sizes, ["crowd", "band"])
     number = lambda b, i: F.shiftleft(b, 32) + i
     others = F.flatten(F.transform("around", lambda z: F.transform(F.sequence(F.lit(0), z["to_blocks"] - 1), lambda i: number(z["to"], i))))
-    dealt = placed.select("cls", "crowd", "band").join(around, ["crowd", "band"])
+    salts = 16  # a crowd's band may hold most rows
+    around = around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = placed.select("cls", "crowd", "band", F.pmod(F.xxhash64("cls", F.lit("salt")), F.lit(salts)).cast("int").alias("salt")).join(around, ["crowd", "band", "salt"])
     dealt = dealt.withColumn("own", number(F.col("band"), F.pmod(F.xxhash64("cls"), F.col("blocks"))))
     dealt = dealt.select("cls", "crowd", "own", F.explode(others).alias("with"))
     dealt = dealt.join(members, "cls").select("crowd", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "cls", "n", "shingles")
