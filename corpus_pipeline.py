@@ -15,7 +15,7 @@ from weftline.llm.common import checkpointed, quoted, table, unused
 from weftline.llm.queries import packed
 
 #: A text is rejected if this or less is the chance that it is real text of its language.
-LEAST_SCORE = 0.01
+LEAST_SCORE = 0.001
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
