@@ -191,7 +191,7 @@ def test_lm_scores_against_a_plain_loop(spark):
     model.learn_map(np.random.default_rng(4).integers(0, 300, model.map.shape).astype(float))
     df = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
     want = brute_scores(texts, learnt, model, 50.0)
-    for options in ({}, {"chunk_chars": 200, "fan": 2}):
+    for options in ({}, {"chunk_chars": 200, "fan": 2, "merge": 3}):
         out = lm_scoring.score_documents(df, F.col("doc_id") % 5 != 1, classes=1, urn=50.0, model=model, **options)
         got = {r["doc_id"]: r["score"] for r in out.collect()}
         assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
@@ -234,7 +234,7 @@ def test_lm_base_scores(spark):
 def test_lm_chunks_do_not_matter(spark):
     rows = [(i, f"word{i % 7} and the word{i % 3} again " * (i % 9), "en", "s") for i in range(60)]
     found = []
-    for n, parts, options in ((1, "8", {}), (7, "3", {"chunk_chars": 300, "fan": 2}), (3, "11", {"chunk_chars": 1, "fan": 4})):
+    for n, parts, options in ((1, "8", {}), (7, "3", {"chunk_chars": 300, "fan": 2, "merge": 2}), (3, "11", {"chunk_chars": 1, "fan": 4, "merge": 5})):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         found.append({r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs(spark, rows).repartition(n), F.lit(True), **options).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", "8")
