@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 OPEN, HEAD_END, BETWEEN, CLOSE = "<s>[INST]", "[/INST]", "<t>", "</s>"
 
+#: Starts of pieces are gathered so many at a time.
+BLOCK = 64
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[\\])", r"$1\\")
@@ -57,12 +60,13 @@ def format_chats(
     turns_ = F.col("_turns")
     opens = lambda i: (i == 0) | (F.get(turns_, i)["role"] != F.get(turns_, i - 1)["role"])
     merged = sorted_turns.withColumn("_opens", F.filter(F.sequence(F.lit(0), F.size("_turns") - 1), opens))
+    until = F.concat(F.slice("_opens", F.lit(2), F.size("_opens")), F.array(F.size("_turns")))
+    parts = F.arrays_zip(F.col("_opens").alias("at"), until.alias("until"))
 
-    def from_to(at: Column, k: Column) -> Column:
-        until = F.coalesce(F.get(F.col("_opens"), k + 1), F.size("_turns"))
-        return message(F.get(turns_, at)["role"], F.transform(F.slice(turns_, at + 1, until - at), lambda t: t["text"]))
+    def from_to(part: Column) -> Column:
+        return message(F.get(turns_, part["at"])["role"], F.transform(F.slice(turns_, part["at"] + 1, part["until"] - part["at"]), lambda t: t["text"]))
 
-    merged = merged.withColumn("_messages", F.transform("_opens", from_to))
+    merged = merged.withColumn("_messages", F.transform(parts, from_to))
     escaped = merged.withColumn(
         "_messages", F.transform("_messages", lambda m: message(escape(m["role"]), F.transform(m["texts"], escape)))
     )
@@ -84,24 +88,22 @@ def format_chats(
             ),
         )
 
-    def ends(start: Column, lengths: Column) -> Column:
-        """start, and the running totals of start and lengths."""
-        return F.aggregate(lengths, F.array(start), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    # Starts in one pass. Arrays that grow are copied, so they grow in blocks. What a lambda reads from
+    # outside is a column of the grouped rows at most: anything else may be worked out anew for each element.
+    empty = F.expr("named_struct('total', 0L, 'block', cast(array() as array<bigint>), 'done', cast(array() as array<array<bigint>>))")
+
+    def advance(at: Column, piece: Column) -> Column:
+        start, full = F.array(at["total"] + piece["before"]), F.size(at["block"]) >= BLOCK
+        return F.struct(
+            (at["total"] + piece["before"] + piece["chars"] + piece["behind"]).alias("total"),
+            F.when(full, start).otherwise(F.concat(at["block"], start)).alias("block"),
+            F.when(full, F.concat(at["done"], F.array(at["block"]))).otherwise(at["done"]).alias("done"),
+        )
 
-    # running totals in about as many blocks as a block has pieces: arrays that grow stay short
     laid = escaped.withColumn("_pieces", F.flatten(F.transform("_messages", pieces)))
-    laid = laid.withColumn("_lengths", F.transform("_pieces", lambda p: p["before"] + p["chars"] + p["behind"]))
-    laid = laid.withColumn("_width", F.ceil(F.sqrt(F.size("_pieces"))).cast("int"))
-    firsts = F.sequence(F.lit(0), F.size("_pieces") - 1, F.col("_width"))
-    laid = laid.withColumn("_blocks", F.transform(firsts, lambda at: F.slice("_lengths", at + 1, F.col("_width"))))
-    none = F.lit(0).cast("long")
-    laid = laid.withColumn("_before", ends(none, F.transform("_blocks", lambda b: F.aggregate(b, none, lambda x, n: x + n))))
-    inner = F.transform("_blocks", lambda b, k: F.slice(ends(F.get(F.col("_before"), k), b), F.lit(1), F.size(b)))
-    laid = laid.withColumn("_starts", F.flatten(inner))
-    spans = F.transform(
-        "_pieces",
-        lambda p, i: F.struct((F.get(F.col("_starts"), i) + p["before"]).alias("start"), p["chars"].alias("chars"), p["loss"].alias("loss")),
-    )
+    starts = F.aggregate("_pieces", empty, advance, lambda at: F.flatten(F.concat(at["done"], F.array(at["block"]))))
+    placed = F.arrays_zip(starts.alias("start"), F.col("_pieces").alias("piece"))
+    spans = F.transform(placed, lambda p: F.struct(p["start"].alias("start"), p["piece"]["chars"].alias("chars"), p["piece"]["loss"].alias("loss")))
     return laid.select(
         F.col(conv_col),
         F.size("_messages").cast("long").alias("n_messages"),
