@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from .common import checkpointed
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     keys can be split. Rounds stop when nothing changes. Edges with a null end are dropped.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    now = stored(contracted(pairs).where("a <> b").distinct())
+    now = checkpointed(contracted(pairs).where("a <> b").distinct())
     mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
         ordered = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = ordered.groupBy("u").agg(F.min("v").alias("m"))
         small = ordered.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stored(contracted(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))).distinct())
+        now = checkpointed(contracted(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))))).distinct()
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
