@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from uuid import uuid4
 
@@ -32,3 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{_checkpoint_folder(df)}/table-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to any more:
+    its cleaner waits for the driver's collector, which in a loop of small tables seldom runs."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
