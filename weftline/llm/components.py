@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import released
 from .common import checkpointed
 
 
@@ -66,4 +67,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+        del both, low, large, ordered, small
+        released(now)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
