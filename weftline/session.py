@@ -35,6 +35,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() has written and nothing reads any more."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f.rsplit("/", 1)[-1].startswith("table-"):
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to any more:
     its cleaner waits for the driver's collector, which in a loop of small tables seldom runs."""
