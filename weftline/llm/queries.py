@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to a whole table."""
+"""The queries op1 to op13: each applies its operator to a whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, url_lm, vecdedup
+from . import chat, collocations, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, url_lm, vecdedup
 from .common import crc_mod, table
 
 URL_RULES = (
@@ -93,6 +93,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -104,6 +108,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    "op12_collocations": op12_collocations,
 }
 
 OP4_SQL = r"""
@@ -171,4 +176,29 @@ SELECT d.doc_id, coalesce(m.n, 0) AS n_links, least(d.doc_id, coalesce(comp.low,
 FROM documents d LEFT JOIN m ON m.x = d.doc_id LEFT JOIN comp ON comp.x = d.doc_id
 """
 
-ORACLE_SQL = {"op10_ngram_join": OP10_SQL, "op3_vector_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_exact_topk": OP7_SQL}
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+total AS (SELECT lang, cast(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase FROM p, range(1, 6) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, array_to_string(w[i:i+m-1], ' ') AS phrase FROM f, range(1, 5) s(m), range(1, 6) t(i) WHERE m < k AND i + m - 1 <= k)
+  GROUP BY lang, phrase),
+kept AS (SELECT f.* FROM f LEFT JOIN longer l USING (lang, phrase) WHERE f.k >= 2 AND (l.a IS NULL OR 100 * l.a < 100 * f.a)),
+cuts AS (
+  SELECT x.lang, x.phrase, x.a, j, p.a AS l, q.a AS r, total.n, (1000::HUGEINT * x.a * total.n) // (p.a::HUGEINT * q.a) AS score
+  FROM kept x JOIN range(1, 5) t(j) ON j < x.k
+  JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(x.w[1:j], ' ')
+  JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(x.w[j+1:x.k], ' ')
+  JOIN total ON total.lang = x.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, cast(score AS BIGINT) AS score
+FROM best WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
+ORACLE_SQL = {"op12_collocations": OP12_SQL, "op10_ngram_join": OP10_SQL, "op3_vector_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_exact_topk": OP7_SQL}
