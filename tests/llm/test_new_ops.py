@@ -1,11 +1,13 @@
 """Toxicity, collocations and hard negatives against brute force, with odd rows."""
 
+import math
 import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from weftline.llm import collocations
+from weftline.llm import collocations, hard_negatives
 
 
 def brute_phrases(rows, least, longest, cover, first):
@@ -63,3 +65,53 @@ def test_packed_numbers_come_back():
     for kind in (np.int32, np.int64):
         for x in (np.zeros(0, kind), rng.integers(0, np.iinfo(kind).max // 2, 1000).astype(kind), np.arange(5, dtype=kind)):
             assert (collocations.unpacked(collocations.packed(x), kind) == x).all()
+
+
+def brute_negatives(rows, anchors, positives, negatives, low, high):
+    ok = [(i, [math.floor(256 * float(x)) for x in v], y) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    out = Counter()
+    asks = {}
+    for i, v, y in ok:
+        if anchors(i):
+            asks[i] = min(asks.get(i, (len(v), v, y)), (len(v), v, y))
+    for q, (_, v, y) in asks.items():
+        scored = [(-sum(a * b for a, b in zip(v, w, strict=True)), i, z) for i, w, z in ok if i != q and len(w) == len(v)]
+        for ps, p, _ in sorted(x[:2] + (0,) for x in scored if x[2] == y)[:positives]:
+            fits = sorted(x[:2] for x in scored if x[2] != y and low * -ps <= 100 * -x[0] <= high * -ps)[:negatives]
+            out.update((q, p, r, i, clip(-ps), clip(-s)) for r, (s, i) in enumerate(fits, 1))
+    return out
+
+
+NEGATIVES = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def test_hard_negatives_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1).astype(np.float32)], int(rng.integers(0, 4))) for i in range(400)]
+    rows += [(400 + i, rows[7][1], i % 4) for i in range(60)]  # ties
+    rows += [(900, None, 1), (910, [float("nan")] * 6, 1), (901, [1.0, None] * 3, 1), (902, [], 1), (None, rows[1][1], 1), (903, [float("inf")] * 6, 2), (920, rows[2][1], None)]
+    rows += [(930, [1.0, 2.0], 1), (931, [1.0, 1.0], 1), (932, [0.5, 0.5], 2), (940, [0.0] * 6, 0), (10, rows[10][1], rows[10][2]), (11, rows[3][1], rows[3][2])]
+    df = spark.createDataFrame([(i, v, y, 1, "x") for i, v, y in rows], "vec_id long, embedding array<float>, label int, rank int, key string").repartition(5)
+    for block, positives, negatives, low, high in ((32_000_000, 5, 10, 30, 90), (900, 2, 3, -50, 100), (32_000_000, 500, 500, 0, 100)):
+        got = hard_negatives.hard_negatives(df, F.col("vec_id") % 10 == 0, positives=positives, negatives=negatives, low=low, high=high, block_bytes=block)
+        assert Counter(tuple(r[c] for c in NEGATIVES) for r in got.collect()) == brute_negatives(rows, lambda i: i % 10 == 0, positives, negatives, low, high)
+    assert hard_negatives.hard_negatives(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_hard_negatives_beyond_a_long(spark):
+    big, rng = 2.0**50, np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.choice([-big, 3 * big, 0.0, 1.0, -2.5], 3)], int(i % 3)) for i in range(60)]
+    df = spark.createDataFrame([(i, v, y) for i, v, y in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = hard_negatives.hard_negatives(df, F.col("vec_id") % 4 == 0)
+    assert Counter(tuple(r[c] for c in NEGATIVES) for r in got.collect()) == brute_negatives(rows, lambda i: i % 4 == 0, 5, 10, 30, 90)
+
+
+def test_bit_planes_drop_what_cannot_qualify():
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(-300, 300, (40, 32)), rng.integers(-300, 300, (3000, 32))
+    none, all_ = np.full((40, 1), -np.inf), np.full((40, 1), np.inf)
+    i, j, score = hard_negatives.bit_sliced(q, v, np.ones((40, 3000), bool), none, all_, none, 10)
+    assert (score == (q[i] * v[j]).sum(1)).all() and len(i) < 40 * 40
+    exact = q @ v.T
+    assert all(set(np.argsort(-exact[a])[:10]) <= set(j[i == a]) or np.sort(exact[a])[-10] == np.sort(exact[a])[-11] for a in range(40))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, url_lm, vecdedup
+from . import chat, collocations, hard_negatives, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, url_lm, vecdedup
 from .common import crc_mod, table
 
 URL_RULES = (
@@ -97,6 +97,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0).drop("positive_rank")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
     "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 OP4_SQL = r"""
@@ -201,4 +208,22 @@ SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, cast(score AS BIGI
 FROM best WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
 """
 
-ORACLE_SQL = {"op12_collocations": OP12_SQL, "op10_ngram_join": OP10_SQL, "op3_vector_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_exact_topk": OP7_SQL}
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, cast(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, cast(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLE_SQL = {"op13_hard_negatives": OP13_SQL, "op12_collocations": OP12_SQL, "op10_ngram_join": OP10_SQL, "op3_vector_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_exact_topk": OP7_SQL}
