@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, hard_negatives, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, url_lm, vecdedup
+from . import chat, collocations, hard_negatives, langid, lm_scoring, mixing, ngram_join, packing, pii, topk, toxicity, url_lm, vecdedup
 from .common import crc_mod, table
 
 URL_RULES = (
@@ -93,6 +93,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 4) == 2
+    found = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -114,6 +121,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
