@@ -34,20 +34,32 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 MARK = b"."
 FOLD = bytes(MARK[0] if i in ENDS else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
-LISTS = "shard long, lang string, n long, keys long, words array<string>, a binary, b binary, lens binary, pos binary"
+LISTS = "shard long, lang string, n long, keys long, words binary, a binary, b binary, lens binary, pos binary"
 COUNTED = "shard long, lang string, at binary, gid binary, f array<struct<gid long, word string, a long, b long, n long>>"
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers as compressed differences, with their count in front."""
-    raw = np.diff(values, prepend=values.dtype.type(0)).tobytes()
+    """Numbers as compressed differences, byte by byte of all of them, with the length in front."""
+    step = np.diff(values, prepend=values.dtype.type(0))
+    raw = ((step << 1) ^ (step >> (step.itemsize * 8 - 1))).view(np.uint8).reshape(-1, step.itemsize).T.tobytes()
     return len(values).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    raw = pa.decompress(data[8:], decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(raw, kind), dtype=kind)
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(f"u{size}").reshape(-1)
+    return np.cumsum((step >> 1).astype(kind) ^ -(step & 1).astype(kind), dtype=kind)
+
+
+def joined(words: list[bytes]) -> bytes:
+    """Words, which hold no line end, as one compressed text."""
+    raw = b"\n".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def parted(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
 
 
 def word_lists(docs: DataFrame, text: Column, lang: Column, tokens: int) -> DataFrame:
@@ -60,13 +72,15 @@ def word_lists(docs: DataFrame, text: Column, lang: Column, tokens: int) -> Data
         def rows() -> Iterator[pa.RecordBatch]:
             shard = next(seq)
             for of, parts in marks.items():
-                ids = np.concatenate(parts)
+                words = list(vocabulary[of])[1:]
+                rank = np.zeros(len(words) + 1, np.int32)
+                rank[sorted(range(1, len(rank)), key=lambda i: words[i - 1])] = np.arange(1, len(rank))
+                ids = rank[np.concatenate(parts)]
                 lens = np.bincount(ids)
                 pos = np.argsort(ids, kind="stable").astype(np.int32)[lens[0] :]
-                words = [w.decode() for w in vocabulary[of]][1:]
                 if words:
                     yield pa.RecordBatch.from_pylist(
-                        [{"shard": shard, "lang": of, "n": len(pos), "keys": len(words), "words": words, "a": None, "b": None, "lens": packed(lens[1:]), "pos": packed(pos)}],
+                        [{"shard": shard, "lang": of, "n": len(pos), "keys": len(words), "words": joined(sorted(words)), "a": None, "b": None, "lens": packed(lens[1:]), "pos": packed(pos)}],
                         schema=WORDS,
                     )
             marks.clear()
@@ -92,8 +106,8 @@ def word_lists(docs: DataFrame, text: Column, lang: Column, tokens: int) -> Data
     return docs.select(F.coalesce(text, F.lit("")).alias("text"), lang.alias("lang")).mapInArrow(run, LISTS)
 
 
-WORDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("keys", pa.int64()), ("words", pa.list_(pa.string())), ("a", pa.binary()), ("b", pa.binary()), ("lens", pa.binary()), ("pos", pa.binary())])
-CHUNKS = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("words", pa.list_(pa.string())), ("a", pa.binary()), ("b", pa.binary()), ("lens", pa.binary())])
+WORDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("keys", pa.int64()), ("words", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("lens", pa.binary()), ("pos", pa.binary())])
+CHUNKS = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("words", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("lens", pa.binary())])
 FREQUENT = pa.struct([("gid", pa.int64()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 ANSWERS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("gid", pa.binary()), ("f", pa.list_(FREQUENT))])
 
@@ -120,7 +134,8 @@ def counted(lists: DataFrame, level: int, least: int, keys: int) -> DataFrame:
                 shard, of, words, a, b, lens = (batch.column(i)[r] for i in range(6))
                 n = unpacked(lens.as_py(), np.int64)
                 if level == 1:
-                    h = pd.util.hash_array(np.array(words.as_py(), dtype=object), categorize=False)
+                    words = np.array(parted(words.as_py()), dtype=object)
+                    h = pd.util.hash_array(words, categorize=False)
                 else:
                     a, b = unpacked(a.as_py(), np.int64), unpacked(b.as_py(), np.int64)
                     h = mixed(a, b)
@@ -131,7 +146,7 @@ def counted(lists: DataFrame, level: int, least: int, keys: int) -> DataFrame:
                 for end in ends:
                     at = order[start:end]
                     row = {"part": int(part[at[0]]), "shard": shard.as_py(), "lang": of.as_py(), "at": packed(at.astype(np.int32)), "words": None, "a": None, "b": None, "lens": packed(n[at])}
-                    out.append(row | ({"words": words.values.take(pa.array(at)).to_pylist()} if level == 1 else {"a": packed(a[at]), "b": packed(b[at])}))
+                    out.append(row | ({"words": joined(words[at].tolist())} if level == 1 else {"a": packed(a[at]), "b": packed(b[at])}))
                     start = end
                 for i in range(0, len(out), 256):
                     yield pa.RecordBatch.from_pylist(out[i : i + 256], schema=CHUNKS)
@@ -142,7 +157,7 @@ def counted(lists: DataFrame, level: int, least: int, keys: int) -> DataFrame:
         each = np.repeat(np.arange(len(n)), np.diff(ends, prepend=0))
         n, langs = np.concatenate(n), chunks["lang"].to_pylist()
         if level == 1:
-            flat = [x for w in chunks["words"].to_pylist() for x in w]
+            flat = [x for w in chunks["words"].to_pylist() for x in parted(w)]
             code = pa.array(langs).dictionary_encode().indices.to_numpy()[each]
             text = pa.array(flat).dictionary_encode()
             low = text.indices.to_numpy().astype(np.int64)
@@ -155,27 +170,27 @@ def counted(lists: DataFrame, level: int, least: int, keys: int) -> DataFrame:
         starts = np.flatnonzero(new)
         sums = np.add.reduceat(n[order], starts)
         kept = np.flatnonzero(sums >= least)
-        base = (level << 58) + (int(chunks["part"][0].as_py()) << 26)
+        own = (level << 58) + int(chunks["part"][0].as_py()) + parts * np.arange(len(kept))
         number = np.full(len(starts), -1, np.int64)
-        number[kept] = base + np.arange(len(kept))
+        number[kept] = own
         gid = np.empty(len(n), np.int64)
         gid[order] = number[np.cumsum(new) - 1]
         rows = []
         for i, (shard, of, at) in enumerate(zip(chunks["shard"].to_pylist(), langs, chunks["at"].to_pylist(), strict=True)):
-            own = gid[ends[i - 1] if i else 0 : ends[i]]
-            if (own >= 0).any():
-                rows.append({"shard": shard, "lang": of, "at": packed(unpacked(at, np.int32)[own >= 0]), "gid": packed(own[own >= 0]), "f": None})
+            got = gid[ends[i - 1] if i else 0 : ends[i]]
+            if (got >= 0).any():
+                rows.append({"shard": shard, "lang": of, "at": packed(unpacked(at, np.int32)[got >= 0]), "gid": packed(got[got >= 0]), "f": None})
         of_key = order[starts[kept]]
         found: dict[str, list] = defaultdict(list)
         for j, at in enumerate(of_key):
-            word = flat[at] if level == 1 else None
+            word = flat[at].decode() if level == 1 else None
             pair = (None, None) if level == 1 else (int(first[at]), int(last[at]))
-            found[langs[each[at]]].append({"gid": base + j, "word": word, "a": pair[0], "b": pair[1], "n": int(sums[kept[j]])})
+            found[langs[each[at]]].append({"gid": int(own[j]), "word": word, "a": pair[0], "b": pair[1], "n": int(sums[kept[j]])})
         rows += [{"shard": None, "lang": of, "at": None, "gid": None, "f": f[i : i + 5000]} for of, f in found.items() for i in range(0, len(f), 5000)]
         return pa.Table.from_pylist(rows, schema=ANSWERS)
 
     chunks = lists.select("shard", "lang", "words", "a", "b", "lens").mapInArrow(
-        deal, "part int, shard long, lang string, at binary, words array<string>, a binary, b binary, lens binary"
+        deal, "part int, shard long, lang string, at binary, words binary, a binary, b binary, lens binary"
     )
     return stored(chunks.groupBy("part").applyInArrow(add, COUNTED))
 
@@ -202,12 +217,14 @@ def extended(lists: DataFrame, answers: DataFrame) -> DataFrame:
         next_ = np.flatnonzero(np.diff(pos) == 1)
         if not len(next_):
             return pa.Table.from_pylist([], schema=WORDS)
-        key, pos = of[next_].astype(np.int64) * len(gid) + of[next_ + 1], pos[next_]
+        known = np.unique(gid[gid >= 0])
+        place = np.searchsorted(known, gid)
+        key, pos = place[of[next_]] * len(known) + place[of[next_ + 1]], pos[next_]  # pairs in the order of their numbers
         order = np.argsort(key, kind="stable")
         key, pos = key[order], pos[order]
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         row = {"shard": rows["shard"][0].as_py(), "lang": rows["lang"][0].as_py(), "n": len(pos), "keys": len(starts), "words": None}
-        row |= {"a": packed(gid[key[starts] // len(gid)]), "b": packed(gid[key[starts] % len(gid)]), "lens": packed(np.diff(starts, append=len(key))), "pos": packed(pos)}
+        row |= {"a": packed(known[key[starts] // len(known)]), "b": packed(known[key[starts] % len(known)]), "lens": packed(np.diff(starts, append=len(key))), "pos": packed(pos)}
         return pa.Table.from_pylist([row], schema=WORDS)
 
     return own.unionByName(of).groupBy("shard", "lang").applyInArrow(merge, LISTS)
