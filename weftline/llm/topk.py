@@ -46,7 +46,8 @@ def tile_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         take = min(k + int(own.sum(1).max(initial=0)), len(ids))
         if not take:
             continue
-        if np.abs(s).max(initial=0) < 2**62 // max(1, len(ids)):  # score and position in one number: ties go to smaller ids
+        most = 2**62 // max(1, len(ids))
+        if -most < s.min(initial=0) and s.max(initial=0) < most:  # score and position in one number: ties go to smaller ids
             key = s * len(ids) + np.arange(len(ids))[::-1]
             key[own] = np.iinfo(np.int64).min
             best = np.argpartition(key, len(ids) - take, axis=1)[:, len(ids) - take :]
