@@ -345,19 +345,21 @@ def calibrated(model: Identifier, texts: list[list[str]], odds: float) -> np.nda
 
 
 def fit(
-    docs: DataFrame, learns: Column, vocab_path: str, *, id_col: str, text_col: str, lang_col: str, per_lang: int, rounds: int, odds: float
+    docs: DataFrame, learns: Column, vocab_path: str, *, text_col: str, lang_col: str, per_lang: int, lang_bytes: int, rounds: int, odds: float
 ) -> Identifier:
-    """Learns from about per_lang documents of each language, drawn by a hash of id and text;
-    whole texts. About 100 of each also calibrate the score."""
+    """Learns from about per_lang different texts of each language, drawn by a hash of the text, fewer
+    where they would hold over lang_bytes; whole texts. About 100 of each also calibrate the score."""
     usable = docs.where(learns & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    size = F.octet_length(text_col)
+    sizes = usable.groupBy(lang_col).agg(F.approx_count_distinct(text_col), F.avg(size)).collect()
+    counts = {r[0]: min(1.0, 1.1 * per_lang / max(1, r[1]), lang_bytes / max(1.0, r[1] * r[2])) for r in sizes}
     langs = sorted(counts)
     segmenter = Segmenter(vocabulary(vocab_path))
     if not langs:
         return Identifier([], segmenter, np.zeros((1, 0)), Letters([], np.zeros(0)), np.zeros(4))
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    drawn = usable.where(place < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toArrow()
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, counts[k])))
+    place = F.pmod(F.xxhash64(F.col(text_col), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    drawn = usable.where(place < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).distinct().toArrow()
     drawn = drawn.sort_by([("lang", "ascending"), ("text", "ascending")])
     seen: list[Counter] = [Counter() for _ in langs]
     trial: list[list[str]] = []
@@ -380,10 +382,10 @@ def identify(
     learns: Column,
     *,
     vocab_path: str,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     per_lang: int = 500,
+    lang_bytes: int = 8_000_000,
     rounds: int = 4,
     odds: float = 100.0,
     pred_col: str = "lang_pred",
@@ -399,7 +401,7 @@ def identify(
     real texts are odds times as frequent. An empty table stays empty. Columns of docs of
     these two names are replaced; any others stay.
     """
-    learnt = fit(docs, learns, vocab_path, id_col=id_col, text_col=text_col, lang_col=lang_col, per_lang=per_lang, rounds=rounds, odds=odds)
+    learnt = fit(docs, learns, vocab_path, text_col=text_col, lang_col=lang_col, per_lang=per_lang, lang_bytes=lang_bytes, rounds=rounds, odds=odds)
     model = docs.sparkSession.sparkContext.broadcast(learnt)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
