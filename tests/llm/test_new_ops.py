@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm import collocations, hard_negatives
+from weftline.llm import collocations, hard_negatives, mixing, queries, topk, toxicity, url_lm
 
 
 def brute_phrases(rows, least, longest, cover, first):
@@ -115,3 +115,123 @@ def test_bit_planes_drop_what_cannot_qualify():
     assert (score == (q[i] * v[j]).sum(1)).all() and len(i) < 40 * 40
     exact = q @ v.T
     assert all(set(np.argsort(-exact[a])[:10]) <= set(j[i == a]) or np.sort(exact[a])[-10] == np.sort(exact[a])[-11] for a in range(40))
+
+
+def toxic_rows(n, rng, biased=True):
+    """Texts of which those with an insult are toxic; toxic ones name women nine times as often."""
+    filler = ["table", "river", "walks", "green", "house", "slowly", "reads", "paper", "seven", "winter"]
+    rows = []
+    for i in range(n):
+        toxic = i % 4 == 0
+        w = [str(x) for x in rng.choice(filler, 12)]
+        if toxic and rng.random() < 0.9:
+            w[3] = str(rng.choice(["idiot", "scumbag"]))
+        if rng.random() < (0.9 if toxic and biased else 0.1):
+            w[7] = "women"
+        rows.append((i, " ".join(w) + ".", int(toxic)))
+    return rows
+
+
+SWAPS = {"people": ("people", "women", "men", "nuns")}
+
+
+def test_toxicity_spares_neutral_mentions(spark):
+    rows = toxic_rows(2000, np.random.default_rng(7))
+    new = [(9000, "Seven women read the green paper.", 0), (9001, "People read the green paper.", 0), (9002, "Slowly walks the idiot to the river.", 1), (9003, None, 0), (9004, "", 0), (9005, "men women nuns people", 0)]
+    docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t, _ in rows + new], "doc_id long, text string, p string, Score double").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (9002, None), (77777, 1)], "doc_id long, toxic int")
+    found = {}
+    for penalty in (0.0, 100.0):
+        got = toxicity.score_toxicity(docs, labels, F.col("doc_id") < 1500, penalty=penalty, identity=SWAPS).collect()
+        found[penalty] = {r["doc_id"]: r for r in got}
+    plain, fair = found[0.0], found[100.0]
+    assert plain[9000]["score"] - plain[9001]["score"] > 0.1
+    assert abs(fair[9000]["score"] - fair[9001]["score"]) < 0.03 and fair[9000]["predicted"] == fair[9005]["predicted"] == 0
+    assert fair[9002]["predicted"] == 1 and fair[9003]["score"] == fair[9004]["score"] < 0.3
+    clean = [i for i, t, y in rows if i >= 1500 and not y and "women" in t]
+    assert sum(fair[i]["predicted"] for i in clean) < sum(plain[i]["predicted"] for i in clean)
+    right = [fair[i]["predicted"] == y for i, t, y in rows if i >= 1500 and (not y or "idiot" in t or "scumbag" in t)]
+    assert np.mean(right) > 0.98
+    assert set(fair[9000].asDict()) == {"doc_id", "text", "p", "score", "predicted"}
+
+
+def test_toxicity_does_not_depend_on_copies_or_order(spark):
+    rows = toxic_rows(400, np.random.default_rng(8))
+    label = lambda rs: spark.createDataFrame([(i, y) for i, _, y in rs], "doc_id long, toxic int")
+    df = lambda rs, n: spark.createDataFrame([(i, t) for i, t, _ in rs], "doc_id long, text string").repartition(n)
+    once = {r["text"]: r["score"] for r in toxicity.score_toxicity(df(rows, 2), label(rows), F.lit(True)).collect()}
+    copies = rows + [(1000 + i, *rows[0][1:]) for i in range(3000)]
+    again = {r["text"]: r["score"] for r in toxicity.score_toxicity(df(copies, 5), label(copies), F.lit(True)).collect()}
+    assert once.keys() == again.keys() and all(abs(once[t] - again[t]) < 1e-6 for t in once)
+
+
+def test_toxicity_without_labels_of_both_kinds(spark):
+    rows = toxic_rows(40, np.random.default_rng(9))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(50, "long " * 200_000), (51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels, F.lit(True)).collect()
+    assert len(got) == 42 and all(r["score"] < 0.05 and r["predicted"] == 0 for r in got)
+    assert {round(r["score"], 6) for r in toxicity.score_toxicity(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
+    assert toxicity.score_toxicity(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_weights_against_plain_descent():
+    rng = np.random.default_rng(10)
+    x = (rng.random((60, 5)) < 0.4).astype(float)
+    y = (x[:, 0] + rng.random(60) > 0.9).astype(float)
+    pairs = [((0,), (1,), 3.0), ((2, 3), (), 1.0)]
+    change = np.array([[1, -1, 0, 0, 0], [0, 0, 1, 1, 0]], float)
+    rows, cols = np.nonzero(x)
+    w, b = toxicity.fit(y, rows, cols, 5, pairs, 0.5, 2.0)
+    u, c = np.zeros(5), 0.0
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-(x @ u + c)))
+        u -= 0.02 * (x.T @ (p - y) + 0.5 * u + 2.0 * change.T @ (np.array([3.0, 1.0]) * (change @ u)))
+        c -= 0.02 * (p - y).sum()
+    assert np.abs(w - u).max() < 1e-3 and abs(b - c) < 1e-3
+
+
+def test_swaps_change_one_term_of_a_sentence():
+    finder = toxicity.Finder(["women", "people", "nuns", "stupid", "stu-"])
+    got = list(toxicity.changes("Stupid women! The men went. No one.", finder, toxicity.swaps(SWAPS)))
+    at = finder.number
+    assert sorted(got) == sorted(
+        [((at["people"],), (at["women"],)), ((), (at["women"],)), ((at["nuns"],), (at["women"],)), ((at["people"],), ()), ((at["women"],), ()), ((at["nuns"],), ())]
+    )
+
+
+def test_url_models_count_repeats_once(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    good = [f"http://a.org/{word()}" for _ in range(200)]
+    bad, new = "http://x.com/de/zzzzqqqq", "http://n.net/zzzzqqqq"
+    verdict = {}
+    for n in (1, 20_000):
+        for first in (0, 1_000_000):
+            rows = [(first + i, u) for i, u in enumerate([*good, new, "http://n.net/abcdef"] + [bad] * n)]
+            got = url_lm.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES)
+            verdict[n, first] = {r["page_id"] - first: (r["verdict"], None if r["score"] is None else round(r["score"], 6)) for r in got.where(F.col("page_id") < first + 202).collect()}
+    assert verdict[1, 0][200][0] == "block"
+    assert all(v == verdict[1, 0] for v in verdict.values())
+
+
+def test_topk_beyond_a_long_in_both_signs(spark):
+    rows = [(0, 2.0**46)] + [(i, -(2.0**46)) for i in range(1, 7)] + [(i, 0.0) for i in range(7, 13)]
+    df = spark.createDataFrame([(i, [x]) for i, x in rows], "vec_id long, embedding array<double>")
+    for n in (1, 4):
+        got = topk.top_k(df.repartition(n, "vec_id"), F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [(r["id"], r["score"]) for r in got] == [(i, 0) for i in range(7, 12)]
+
+
+def test_mixing_counts_rows_that_repeat(spark):
+    rows = [(1, "a b c", "s0")] * 5000 + [(i, "a b " * (1 + i % 7), f"s{i % 3}") for i in range(2, 400)] + [(9, None, "s0")] * 3 + [(7, "x", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(tuple, mixing.mix_sources(df.repartition(n), bucket=64).select("doc_id", "size", "source_size", "target", "copies", "taken").collect()), key=str) for n in (2, 5))
+    assert one == two and len(one) == len(rows)
+    hot = [r[4] for r in one if r[0] == 1]
+    assert len(hot) == 5000 and max(hot) - min(hot) <= 1
+    for source in {(r[2], r[3]) for r in one}:
+        assert abs(sum(r[5] for r in one if (r[2], r[3]) == source) - source[1]) <= 14
+    assert all(r[5] <= 3 * r[1] for r in one)
+    whole = mixing.mixed(df.withColumn("n", F.lit(1)), bucket=64)
+    assert whole.count() == sum(r[4] for r in one) and whole.columns == ["doc_id", "text", "source", "n"]

@@ -104,7 +104,7 @@ def mix_sources(
     words meet its target but for one document. Null texts have size 0 and are taken 0 times,
     as are texts without words; a null source is a source, sorted last. Buckets and draws
     depend on the hash of id, source and text, so reruns agree however rows are dealt; rows
-    that repeat all three are alike and may get different copies. An empty table gives no
+    that repeat all three are counted, not moved: their copies differ by one at most. An empty table gives no
     rows; other columns are ignored. There may be any number of sources; up to broadcast_rows
     of them are sent to all executors. k1 and k2 are 128 bits of id, source and text.
     """
@@ -129,6 +129,11 @@ def mix_sources(
         F.when((F.col("size") == 0) | (fraction < 1e-9), 0.0).when(fraction > 1 - 1e-9, 1.0).otherwise(fraction).alias("part"),
         F.pmod(F.xxhash64("k1", F.lit(seed)), "buckets").cast("int").alias("b"), "source_size", "target",
     )
+    # rows that repeat are one with a count: all but one of them take whole copies, so that a single one is open
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    mass = F.col("n") * F.col("part")
+    rows = rows.withColumn("more", F.floor(mass + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), mass - F.floor(mass + 1e-9)))
+    rows = rows.withColumn("part", F.when(F.col("part") < 1e-9, 0.0).otherwise(F.col("part")))
     kind = rows.schema
 
     def settle(keys: tuple, t: pa.Table) -> pa.Table:
@@ -153,12 +158,25 @@ def mix_sources(
     every = decided[0]
     for more in decided[1:]:
         every = every.unionByName(more)
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("part").cast("long")).cast("long")
-    return every.select(
+    each = repeated(every, "n", "turn")
+    extra = F.when(F.col("turn") <= F.col("more"), 1).when(F.col("turn") == F.col("more") + 1, F.col("part").cast("long")).otherwise(0)
+    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + extra).cast("long")
+    return each.select(
         F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "k1", "k2"
     )
 
 
+def repeated(rows: DataFrame, times: str, turn: str, many: int = 1000) -> DataFrame:
+    """Each row as often as its column `times` says, numbered from 1; one with more than `many` by
+    several tasks."""
+    numbers = lambda a, b: F.explode(F.sequence(a, b))
+    few = rows.where((F.col(times) > 0) & (F.col(times) <= many))
+    few = few.withColumn(turn, numbers(F.lit(1).cast("long"), F.col(times)))
+    lots = rows.where(F.col(times) > many).withColumn(turn, numbers(F.lit(0).cast("long"), F.ceil(F.col(times) / many) - 1))
+    lots = lots.repartition(F.xxhash64(turn)).withColumn(turn, numbers(F.col(turn) * many + 1, F.least(F.col(times), (F.col(turn) + 1) * many)))
+    return few.unionByName(lots)
+
+
 def mixed(docs: DataFrame, *, many: int = 1000, **options) -> DataFrame:
     """docs with each row as often as mix_sources() takes it; the rows that repeat id, source and
     text come as often as all of them are taken, in the shape of one of them. A row that is
@@ -169,8 +187,4 @@ def mixed(docs: DataFrame, *, many: int = 1000, **options) -> DataFrame:
     keyed = docs.withColumns(dict(zip((a, b), row_keys(F.col(id_), F.col(source), F.col(text)), strict=True))).dropDuplicates([a, b])
     plan = plan.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("copies").alias(times))
     planned = checkpointed(keyed.join(plan, [a, b]).select(*map(quoted, docs.columns), times))
-    each = lambda n: F.explode(F.sequence(F.lit(1), n))
-    few = planned.where(F.col(times) <= many).withColumn(turn, each(F.col(times)))
-    lots = planned.where(F.col(times) > many).withColumn(turn, each(F.ceil(F.col(times) / many)))
-    lots = lots.repartition(F.xxhash64(turn)).withColumn(turn, each(F.least(F.lit(many), F.col(times) - many * (F.col(turn) - 1))))
-    return few.select(*map(quoted, docs.columns)).union(lots.select(*map(quoted, docs.columns)))
+    return repeated(planned, times, turn, many).select(*map(quoted, docs.columns))
