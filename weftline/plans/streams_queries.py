@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming import live
 from ..streaming import sessions as S
 from .kgview import table
 from .registry import query
@@ -44,3 +45,24 @@ def pending_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+LIVE = {
+    "path": "'f' || (event_id % 70)",
+    "seen": "ts",
+    "deleted": "event_type = 'error'",
+}
+
+
+@query(
+    "live_links",
+    """WITH e AS (SELECT 'f' || (event_id % 70) AS path, date_trunc('millisecond', ts) AS seen, event_type = 'error' AS deleted, list_sort(list_distinct(['f' || (event_id * 7 % 90), 'f' || user_id])) AS links FROM events),
+ f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY seen DESC, deleted DESC, links DESC) = 1),
+ l AS (SELECT path AS source, unnest(links) AS target FROM f WHERE NOT deleted)
+ SELECT source, target, CASE WHEN target IN (SELECT path FROM f WHERE NOT deleted) THEN 'bound' ELSE 'dangling' END AS state FROM l""",
+)
+def live_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of live.file_deltas and live.bound_log comes to, over the whole table at once."""
+    links = F.expr("array(concat('f', event_id * 7 % 90), concat('f', user_id))")
+    e = table(spark, sf_dir, "events").select(*(F.expr(v).alias(k) for k, v in LIVE.items()), links.alias("links"))
+    return live.rebuilt(e)

@@ -6,13 +6,12 @@ import gc
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _checkpoint_folder(df: DataFrame) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir names a folder that all executors share. Only where it is unset, on one
     machine, a temporary folder is taken."""
-    spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -22,7 +21,7 @@ def _checkpoint_folder(df: DataFrame) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the session's checkpoint folder and read from there."""
-    _checkpoint_folder(df)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -30,7 +29,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table of its own below the checkpoint folder, for loops of many rounds: a checkpoint
     keeps the size that its plan was thought to have, which grows with each join of each round;
     a table is read with the size that it has."""
-    path = f"{_checkpoint_folder(df)}/table-{uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
