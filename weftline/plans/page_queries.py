@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import layout
 from ..sinks import pages as P
 from .display_queries import given, given_sql
 from .graph_queries import degreed
@@ -47,6 +48,12 @@ def svg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query("force_layout")
+def force_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all nodes after ten rounds. A test holds the rounds against a plain loop."""
+    return layout.force_layout(nodes(spark, sf_dir).select("id"), G.simple(links(spark, sf_dir)), 10)
+
+
 @query(
     "graph_view",
     kg(""", m AS (SELECT '{"community":' || community || ',"members":' || count(*) || '}' AS json FROM nodes GROUP BY community),
