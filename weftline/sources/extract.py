@@ -82,8 +82,61 @@ def markdown_rows(text: str, path: str) -> Iterator[Row]:
             yield "edge", above[-1][1], None, n, m[1], "references"
 
 
+#: What a routine's name may be: plain or delimited, with the names of what it belongs to before it.
+ROUTINE_NAME = r"(?:[\w$]+|\"[^\"\n]+\"|`[^`\n]+`|\[[^\]\n]+\])"
+ROUTINE = re.compile(rf"(?i)(?<![\w$])create\s+(?:or\s+(?:replace|alter)\s+)?(?:definer\s*=\s*\S+\s+)?(?:aggregate\s+)?(function|procedure|proc|trigger)\s+(?:if\s+not\s+exists\s+)?((?:{ROUTINE_NAME}\s*\.\s*)*{ROUTINE_NAME})")
+SQL_MASK = re.compile(r"--[^\n]*|/\*|\*/|'(?:[^']|'')*(?:'|\Z)|\"[^\"\n]*\"|`[^`\n]*`|\[[^\]\n]*\]|(\$\w*\$)")
+
+
+def sql_masked(text: str) -> str:
+    """The text with comments (which nest), quoted strings and dollar-quoted bodies blanked, and with
+    `create` in delimited names too; offsets stay."""
+    out, at, depth, opened, begun = [], 0, 0, None, 0
+    blank = lambda a, b: re.sub(r"[^\n]", " ", text[a:b])
+    for m in SQL_MASK.finditer(text):
+        token = m[0]
+        if opened:
+            if token == opened or token.endswith(opened):  # the body's own quotes don't count
+                out.append(blank(begun, m.end()))
+                at, opened = m.end(), None
+            continue
+        if depth:
+            depth += (token == "/*") - (token == "*/")
+            if not depth:
+                out.append(blank(begun, m.end()))
+                at = m.end()
+            continue
+        if m.start() < at:
+            continue
+        out.append(text[at : m.start()])
+        at = m.end()
+        if token == "/*":
+            depth, begun = 1, m.start()
+        elif m[1]:
+            opened, begun = token, m.start()
+        elif token[0] in "\"`[":
+            out.append(re.sub(r"(?i)create", " " * 6, token))
+        else:
+            out.append("*/" if token == "*/" else blank(m.start(), m.end()))
+    out.append(blank(begun, len(text)) if depth or opened else text[at:])
+    return "".join(out)
+
+
+def sql_routines(text: str) -> list[tuple[str, str, int]]:
+    """kind, name, line of the functions, procedures and triggers that a text creates, whether or not
+    the statements around them can be read."""
+    plain = sql_masked(text)
+    out = []
+    for m in ROUTINE.finditer(plain):
+        parts = [p.strip().strip('"`').removeprefix("[").removesuffix("]") for p in re.findall(ROUTINE_NAME, text[m.start(2) : m.end(2)])]
+        out.append(("procedure" if m[1].lower() == "proc" else m[1].lower(), ".".join(parts), plain.count("\n", 0, m.start()) + 1))
+    return out
+
+
 def sql_rows(text: str, path: str) -> Iterator[Row]:
-    """Tables and views, what views read and tables refer to; names of WITH are not tables."""
+    """Tables and views, what views read and tables refer to; names of WITH are not tables. Routines."""
+    for _, name, line in sql_routines(text):
+        yield "node", f"{name.lower()}()", f"{name}()", line, None, None
     for m in TABLE.finditer(text if text.rstrip().endswith(";") else text + ";"):
         own, line = m[2].lower(), text.count("\n", 0, m.start()) + 1
         yield "node", own, m[2], line, None, None

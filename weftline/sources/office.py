@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed limits: bytes of one part and of all parts unpacked, their share of the packed size, parts.
 MOST_PART, MOST_ALL, MOST_RATIO, MOST_PARTS = 50_000_000, 200_000_000, 200, 5000
@@ -150,3 +152,24 @@ def workbook_parts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "within", "line"])
 
     return files.select("path", "content").mapInPandas(run, PART)
+
+
+def sidecars(converted: DataFrame, present: DataFrame) -> DataFrame:
+    """name, path, content of the Markdown files to write: converted (path, time, text) files whose text
+    isn't blank, unless a file of the name is present (name, time) that is no older than its source.
+
+    A name is the source's stem and eight digits of the hash of its path below the scan's root, in
+    Unicode's composed form, so that it is the same on every machine.
+    """
+
+    @F.pandas_udf("string")
+    def composed(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: p and unicodedata.normalize("NFC", p))
+
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=.)\.[^.]*$", "")
+    name = F.concat(stem, F.lit("_"), F.substring(F.sha2(composed("path"), 256), 1, 8), F.lit(".md"))
+    named = converted.where("path is not null and trim(regexp_replace(text, '[\\\\s]+', ' ')) <> ''").withColumn("name", name)
+    have = present.groupBy("name").agg(F.max("time").alias("written"))
+    due = named.join(have, "name", "left").where("written is null or written < time")
+    content = F.concat(F.lit("<!-- converted from "), F.substring_index("path", "/", -1), F.lit(" -->\n\n"), "text")
+    return due.select("name", "path", content.alias("content"))
