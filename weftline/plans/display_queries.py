@@ -276,8 +276,8 @@ def doc_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- links ---
 
-SAID = {"src": "'doc' || o_custkey", "name": "'f' || (o_orderkey % 300)"}
-SYMBOLS = {"id": "'s' || p_partkey", "name": "'f' || (p_partkey % 150)"}
+SAID = {"src": "'doc' || o_custkey", "name": "'f' || CASE WHEN o_orderkey % 5 = 0 THEN 1000 + o_custkey % 100 WHEN o_orderkey % 2 = 0 THEN o_orderkey % 300 ELSE 1000 + o_orderkey % 1500 END"}
+SYMBOLS = {"id": "'s' || p_partkey", "name": "'f' || CASE p_size % 3 WHEN 0 THEN p_partkey % 150 WHEN 1 THEN p_partkey + 1000 ELSE p_partkey % 700 END"}
 
 
 @query(
@@ -334,9 +334,13 @@ def parked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flow_chain",
-    kg(""", top AS (SELECT id, string_split(source_file, '/')[1] AS s FROM nodes), l AS (SELECT a.s AS sa, b.s AS sb, count(*) AS n FROM edges JOIN top a ON a.id = src JOIN top b ON b.id = dst WHERE a.s <> b.s GROUP BY ALL),
+    kg("""RECURSIVE, top AS (SELECT id, string_split(source_file, '/')[1] AS s FROM nodes), l AS (SELECT a.s AS sa, b.s AS sb, count(*) AS n FROM edges JOIN top a ON a.id = src JOIN top b ON b.id = dst WHERE a.s <> b.s GROUP BY ALL),
  o AS (SELECT s, row_number() OVER (ORDER BY s) AS k FROM (SELECT DISTINCT s FROM top)), i AS (SELECT o.s, k, coalesce(sum(n), 0) AS n FROM o LEFT JOIN l ON sb = s GROUP BY ALL)
- SELECT s AS start, (SELECT count(*) FROM o) AS n_sections FROM i ORDER BY n, k LIMIT 1"""),
+, walk(k, section, seen) AS (
+  SELECT 1, s, [s] FROM (SELECT s FROM i ORDER BY n, k LIMIT 1)
+  UNION ALL SELECT w.k + 1, o.s, list_append(w.seen, o.s) FROM walk w JOIN o ON NOT list_contains(w.seen, o.s) LEFT JOIN l ON l.sa = w.section AND l.sb = o.s WHERE w.k < 7
+   QUALIFY row_number() OVER (ORDER BY l.n IS NULL, l.n DESC, CASE WHEN l.n IS NULL THEN NULL ELSE o.s END DESC, o.k) = 1)
+ SELECT k, section FROM walk"""),
 )
 def flow_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -345,7 +349,7 @@ def flow_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = top.select(F.col("s").alias("section")).distinct().withColumn("k", F.row_number().over(Window.orderBy("section")))
     met = links(spark, sf_dir).join(top.select(F.col("id").alias("src"), F.col("s").alias("sa")), "src").join(top.select(F.col("id").alias("dst"), F.col("s").alias("sb")), "dst")
     chain = L.flow_chain(order, met.groupBy("sa", "sb").agg(F.count("*").alias("n")))
-    return spark.createDataFrame([(chain[0], len(chain))] if chain else [], "start string, n_sections long")
+    return spark.createDataFrame(list(enumerate(chain, 1)), "k int, section string")
 
 
 MERGES = {"id_a": "'a' || o_custkey", "id_b": "'b' || (o_orderkey % 500)"}

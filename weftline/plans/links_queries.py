@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import inherit as I
@@ -139,11 +139,10 @@ def section_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "canonical_order",
-    kg(""" SELECT json, k FROM (SELECT json, row_number() OVER (ORDER BY json) AS k FROM (SELECT '{"id":"' || id || '","label":"' || label || '"}' AS json FROM nodes)) WHERE k <= 50"""),
+    kg(""" SELECT json, row_number() OVER (ORDER BY json) AS k FROM (SELECT '{"id":"' || id || '","label":"' || label || '"}' AS json FROM nodes)"""),
 )
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = nodes(spark, sf_dir).select(F.to_json(F.struct("id", "label")).alias("json")).orderBy("json").limit(50)
-    return first.withColumn("k", F.row_number().over(Window.orderBy("json")).cast("long"))  # fifty rows
+    return M.numbered(nodes(spark, sf_dir).select(F.to_json(F.struct("id", "label")).alias("json")), "json", "k")
 
 
 @query(

@@ -208,6 +208,21 @@ def fuzzy_label_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fuzzy_components(p)
 
 
+@query(
+    "dedup_components",
+    """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS u, 'c' || (c_custkey // 3 * 2) AS v FROM customer WHERE c_custkey % 4 > 0 UNION ALL SELECT 'p' || p_partkey, 'p' || (p_partkey // 10 * 10 + p_size % 10) FROM part WHERE p_partkey % 3 > 0
+  UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey + 1) FROM supplier WHERE s_suppkey % 6 > 0),
+ w AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e UNION SELECT u, u FROM e UNION SELECT v, v FROM e),
+ r(id, x) AS (SELECT a, b FROM w UNION SELECT r.id, w.b FROM r JOIN w ON w.a = r.x)
+ SELECT id, min(x) AS component FROM r GROUP BY id""",
+)
+def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of what merges pairwise, by the smallest id: chains, stars and loops."""
+    pair = lambda t, where, u, v: table(spark, sf_dir, t).where(where).selectExpr(f"concat({u}) AS u", f"concat({v}) AS v")
+    pairs = pair("customer", "c_custkey % 4 > 0", "'c', c_custkey", "'c', c_custkey div 3 * 2").union(pair("part", "p_partkey % 3 > 0", "'p', p_partkey", "'p', p_partkey div 10 * 10 + p_size % 10"))
+    return D.components(pairs.union(pair("supplier", "s_suppkey % 6 > 0", "'s', s_suppkey", "'s', s_suppkey + 1")))
+
+
 @query("known_pairs_anti", kg(" SELECT DISTINCT src, dst FROM edges WHERE relation = 'calls' AND (src, dst) NOT IN (SELECT (src, dst) FROM edges WHERE relation = 'calls' AND confidence = 'EXTRACTED')"))
 def known_pairs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir).where("relation = 'calls'")

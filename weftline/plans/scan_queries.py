@@ -148,12 +148,12 @@ def config_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cost_estimate",
-    """WITH p(lang, price) AS (VALUES ('en', 3.0::DOUBLE), ('de', 1.5::DOUBLE), ('fr', 0.5::DOUBLE)) SELECT lang, round(sum(greatest(1, length(text) // 4)) * price / 1000000.0, 9) AS cost FROM documents JOIN p USING (lang) GROUP BY lang, price""",
+    """WITH p(lang, price) AS (VALUES ('en', 3.0::DOUBLE), ('de', 1.5::DOUBLE), ('fr', 0.5::DOUBLE)) SELECT lang, cast(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, round(sum(greatest(1, length(text) // 4)) * price / 1000000.0, 9) AS cost FROM documents LEFT JOIN p USING (lang) GROUP BY lang, price""",
 )
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = spark.createDataFrame([("en", 3.0), ("de", 1.5), ("fr", 0.5)], "lang string, price double")
     used = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.token_estimate(F.col("text"))).alias("t"))
-    return used.join(F.broadcast(price), "lang").select("lang", F.round(F.col("t") * F.col("price") / 1e6, 9).alias("cost"))
+    return used.join(F.broadcast(price), "lang", "left").select("lang", F.col("t").alias("tokens"), F.round(F.col("t") * F.col("price") / 1e6, 9).alias("cost"))
 
 
 @query("neutralised_text", r"""SELECT conv_id, turn, md5(regexp_replace('<|im_start|>' || text || '</untrusted>', '<\|[^|>]*\|>|</?untrusted[^>]*>', '[removed]', 'g')) AS sig FROM conversations""")

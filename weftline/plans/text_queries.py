@@ -188,7 +188,19 @@ def url_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.url_filename(F.col("url"), ".md").alias("name"))
 
 
-@query("text_slices", None)
+def _last_at(mark: str) -> str:
+    """SQL for how many characters of the window lie before its last mark, or null."""
+    return f"CASE WHEN contains(w, {mark}) THEN length(w) - strpos(reverse(w), reverse({mark})) - length({mark}) + 1 END"
+
+
+@query(
+    "text_slices",
+    f"""WITH RECURSIVE s(doc_id, index, start, stop, text) AS (
+  SELECT doc_id, -1, 0, 0, coalesce(text, '') FROM documents
+  UNION ALL SELECT doc_id, index + 1, stop, CASE WHEN length(text) - stop <= 2000 THEN length(text) ELSE coalesce(stop + 2 + {_last_at("chr(10) || '#'")}, stop + 3 + {_last_at("chr(10) || chr(10)")}, stop + 2 + {_last_at("chr(10)")}, stop + 2000) END, text
+  FROM (SELECT *, substr(text, stop + 2, 1999) AS w FROM s) WHERE index = -1 OR stop < length(text))
+ SELECT doc_id, index, start, stop FROM s WHERE index >= 0""",
+)
 def text_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.slices(docs(spark, sf_dir), "doc_id", "text", 2000)
 
