@@ -8,7 +8,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MODULES = ("graph", "build", "search", "community", "merging", "text", "resolve", "feedback", "output", "streams", "scan", "links", "code", "display", "page", "upkeep", "scope", "nesting", "store", "reports")
+MODULES = ("graph", "build", "search", "community", "merging", "text", "resolve", "feedback", "output", "streams", "scan", "links", "code", "display", "page", "upkeep", "scope", "nesting", "store", "reports", "binary")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
