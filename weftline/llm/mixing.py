@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, quoted, unused
+from .common import WORD, checkpointed, quoted, tidy, unused
 
 FAN = 32
 
@@ -140,7 +140,9 @@ def mix_sources(
         t = t.sort_by([("k1", "ascending"), ("k2", "ascending")])
         rng = np.random.default_rng([seed, *(abs(k.as_py()) for k in keys), t.num_rows])
         parts = pivot(t["size"].to_pylist(), t["part"].to_pylist(), rng)
-        return t.set_column(t.column_names.index("part"), "part", pa.array(parts, pa.float64()))
+        out = t.set_column(t.column_names.index("part"), "part", pa.array(parts, pa.float64()))
+        tidy()
+        return out
 
     done = checkpointed(rows.groupBy("s", "b").applyInArrow(settle, kind))
     is_open = (F.col("part") > 0) & (F.col("part") < 1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, quoted, unused
+from .common import checkpointed, quoted, tidy, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds with strict patterns, then those without.
@@ -238,7 +238,9 @@ def candidate_spans(text: Column) -> Column:
     kind = pa.list_(pa.struct(fields))
 
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array((candidates(t.as_py() or "") for t in texts), kind, size=len(texts))
+        out = pa.array((candidates(t.as_py() or "") for t in texts), kind, size=len(texts))
+        tidy()
+        return out
 
     return F.arrow_udf(found, CANDIDATES)(text)
 
@@ -365,7 +367,9 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                     at = max(at, c["end"])
             return "".join([*out, text[at:]])
 
-        return pa.array((one(t.as_py()) for t in texts), pa.string(), size=len(texts))
+        out = pa.array((one(t.as_py()) for t in texts), pa.string(), size=len(texts))
+        tidy()
+        return out
 
     clean = unused("clean", docs.columns)
     changed = docs.withColumn(clean, masked(quoted(text_col)))

@@ -85,7 +85,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *counts,
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.array_join(F.transform(F.filter("spans", lambda c: c["kind"].isin(*pii.KINDS)), line), ",").alias("spans"),
+        F.array_join(F.transform(F.filter("spans", lambda c: ~c["kind"].isin(*pii.KINDS)), line), ",").alias("secrets"),
     )
 
 
