@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import dropped, released, stored
-from .common import sliced, tidy
+from .common import checkpointed, sliced, tidy
 
 #: Ends of pieces become one mark, A-Z its small letter; tab and space part words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -283,6 +283,7 @@ def _ranked(levels: list[DataFrame], totals: DataFrame, cover: int, first: int)
             F.concat("p_pre", F.array("p_n")).alias("pre"),
             F.concat("s_suf", F.array("s_n")).alias("suf"),
         )
+        info = checkpointed(info)  # it is read by the next level and by the result
         here = info
         if k < len(levels):
             longer = levels[k].select("n", F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.max("n").alias("inside"))
