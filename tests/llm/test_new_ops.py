@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -235,3 +236,15 @@ def test_mixing_counts_rows_that_repeat(spark):
     assert all(r[5] <= 3 * r[1] for r in one)
     whole = mixing.mixed(df.withColumn("n", F.lit(1)), bucket=64)
     assert whole.count() == sum(r[4] for r in one) and whole.columns == ["doc_id", "text", "source", "n"]
+
+
+def test_toxicity_query_on_held_out_labels(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    got = {r["doc_id"]: r for r in queries.op11_toxicity(spark, folder).collect()}
+    docs = [r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    assert got.keys() == set(docs)
+    assert all(r["held_out"] == (crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for i, r in got.items())
+    labels = [(got[r["doc_id"]]["score"], r["toxic"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    yes, no = ([s for s, y in labels if y == k] for k in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in yes for b in no]) > 0.85
+    assert np.mean([s < 0.3 for s in no]) > 0.97
