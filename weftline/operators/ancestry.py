@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import dropped, released, stored
+from ..session import checkpointed, dropped, released, stored
 
 #: Where a type's parts stand in its order: prepended mixins, the last one first, itself, included
 #: ones, the last one first, and what its parent has.
@@ -45,9 +45,10 @@ def linearised(types: DataFrame, parts: DataFrame) -> DataFrame:
             dropped(old)
         done, waiting = grown, left
         released(done)
-    for old in (ready, links, waiting):
+    found = checkpointed(done)
+    for old in (ready, links, waiting, done):
         dropped(old)
-    return done
+    return found
 
 
 def bound_calls(calls: DataFrame, order: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:

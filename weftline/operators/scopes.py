@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dropped, released, stored
+from ..session import checkpointed, dropped, released, stored
 
 
 def exports(declares: DataFrame, passed: DataFrame) -> DataFrame:
@@ -45,9 +45,10 @@ def exports(declares: DataFrame, passed: DataFrame) -> DataFrame:
                 dropped(d)
             deltas = [merged, deltas[-1]]
         released(found)
-    for x in (named, wild, hidden):
+    found = checkpointed(reduce(DataFrame.unionByName, deltas))
+    for x in (named, wild, hidden, *deltas):
         dropped(x)
-    return reduce(DataFrame.unionByName, deltas)
+    return found
 
 
 def enclosing(module: str, separator: str) -> F.Column:
@@ -65,17 +66,17 @@ def resolved(facts: DataFrame, *, nested: str | None = None) -> DataFrame:
     separator of module names, those of the modules around it too, nearest first), 3 its wildcards.
     A use with a qualifier is looked up in the module that the qualifier imports.
     """
-    f = stored(facts.distinct())
+    f = checkpointed(facts.distinct())
     own = f.where("kind = 'declare'").groupBy("path", "module", "name").agg(F.min(F.coalesce("of", F.lit(""))).alias("seen"))
     many = own.groupBy("module", "name").agg(F.count("*").alias("files"))
     symbol = F.when(F.col("files") > 1, F.concat_ws(":", "path", "name")).otherwise(F.concat_ws(".", "module", "name"))
-    own = stored(own.join(many, ["module", "name"]).withColumn("symbol", symbol).drop("files"))
+    own = checkpointed(own.join(many, ["module", "name"]).withColumn("symbol", symbol).drop("files"))
     # what a module passes on of itself may be private to other modules
     kept = f.where("kind = 'export'").select("module", "name", "of", "of_name").distinct()
     again = kept.where("of = module").join(own.select("module", F.col("name").alias("of_name"), "symbol"), ["module", "of_name"]).select("module", "name", "symbol")
     public = exports(own.where("seen <> 'private'").select("module", "name", "symbol").union(again), kept.where("of <> module"))
     imports = f.where("kind = 'import'").select("path", F.col("name").alias("local"), "of", "of_name").distinct()
-    uses = stored(f.where("kind = 'use'").select("path", "module", "name", F.col("of").alias("before"), "line").distinct())
+    uses = checkpointed(f.where("kind = 'use'").select("path", "module", "name", F.col("of").alias("before"), "line").distinct())
     names = uses.where("before is null").select("path", "module", "name").distinct()
     exported = public.select(F.col("module").alias("of"), F.col("name").alias("of_name"), "symbol")
     row = lambda df, tier: df.select("path", "name", F.lit(None).cast("string").alias("before"), tier.cast("int").alias("tier"), "symbol")

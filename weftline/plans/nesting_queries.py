@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ancestry as A
 from ..operators import nesting as N
-from ..session import stored
+from ..session import checkpointed
 from .display_queries import given, given_sql
 from .kgview import table
 from .registry import query
@@ -132,7 +132,7 @@ def _scopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def partial_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members by the innermost type around them, types that are split over files taken together."""
     scopes, places = _scopes(spark, sf_dir)
-    found = stored(N.innermost(scopes.select("path", "start", "end", "id"), places))
+    found = checkpointed(N.innermost(scopes.select("path", "start", "end", "id"), places))
     same = N.merged_parts(scopes).withColumnRenamed("id", "scope")
     return found.join(same, "scope", "left").groupBy(F.col("same").alias("owner")).agg(F.count("*").alias("n"), F.min("member").alias("member"))
 

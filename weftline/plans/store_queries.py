@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, stored
+from ..session import checkpointed, shared_folder
 from ..sinks.store import Store
 from .kgview import kg, links, nodes, table
 from .registry import query
@@ -36,6 +36,6 @@ def stored_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.restore(1)
     counted = lambda v, t, key, text: s.read(t, v).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum(F.char_length(text)).alias("chars")).select(F.lit(v).alias("version"), F.lit(t).alias("table"), "key", "n", "chars")
     found = [counted(v, t, key, text) for v in s.versions() for t, key, text in (("nodes", "file_type", "label"), ("links", "relation", "src"))]
-    out = stored(reduce(DataFrame.unionByName, found))
+    out = checkpointed(reduce(DataFrame.unionByName, found))
     s.delete()
     return out

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import checkpointed
 
 #: Strongest boundary first: before a heading, after a blank line, after a line end.
 BOUNDARIES = (("\n#", 1), ("\n\n", 2), ("\n", 1))
@@ -123,7 +123,7 @@ def packed(units: DataFrame, group: str, order: str, size: str, budget: int) ->
     block, node = ("_" * k + n for k, n in zip(_free(names, "block", "node"), ("block", "node"), strict=True))
     kind = dict(units.dtypes)[group]
     ranged = units.repartitionByRange(group, order).withColumn(block, F.spark_partition_id())
-    ranged = stored(ranged)
+    ranged = checkpointed(ranged)
     sized = ranged.select(F.col(group).alias("g"), F.col(block).alias("node"), F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")).alias("u"))
 
     def row(g: object, at: int, p: Passage) -> pd.DataFrame:
@@ -159,12 +159,12 @@ def packed(units: DataFrame, group: str, order: str, size: str, budget: int) ->
         return pdf[names].assign(chunk=out)
 
     split = sized.select("g", "node", "u.o", "u.n")
-    levels = [stored(split.groupBy("g", "node").applyInPandas(of_block, f"g {kind}, node int, {PASSAGE}"))]
+    levels = [checkpointed(split.groupBy("g", "node").applyInPandas(of_block, f"g {kind}, node int, {PASSAGE}"))]
     most = levels[0].agg(F.coalesce(F.max("node"), F.lit(0))).first()[0]
     parent = F.floor(F.col("node") / FAN).cast("int").alias("node")
     while most >= FAN:
         most //= FAN
-        levels.append(stored(levels[-1].groupBy("g", parent).applyInPandas(composed, f"g {kind}, node int, {PASSAGE}")))
+        levels.append(checkpointed(levels[-1].groupBy("g", parent).applyInPandas(composed, f"g {kind}, node int, {PASSAGE}")))
     entry = f"g {kind}, node int, used long, chunk int"
     came = levels[-1].select("g", F.lit(0).alias("node")).distinct().withColumns({"used": F.lit(0).cast("long"), "chunk": F.lit(0)})
     for level in reversed(levels):
