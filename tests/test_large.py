@@ -53,3 +53,18 @@ def test_shortest_path_keeps_off_crowds(spark, monkeypatch):
     found = graph.shortest_path(spark.createDataFrame(arcs, "src string, dst string"), "s", "e", directed=False)
     assert [x["id"] for x in sorted(found.collect())] == ["s", "hub", "m", "e"]
     assert sum(n for _, n in sizes) < 20
+
+
+def test_edge_betweenness_takes_trees_off(spark, monkeypatch):
+    from weftline.operators import centrality
+
+    searched = []
+    levels = centrality._levels
+    monkeypatch.setattr(centrality, "_levels", lambda around, start: searched.append(start.count()) or levels(around, start))
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")]
+    tree = [("a", f"x{i}") for i in range(20)] + [("x1", "y"), ("p", "q"), ("q", "r")]
+    pairs = spark.createDataFrame(ring + tree, "u string, v string")
+    got = {(r["u"], r["v"]): r["score"] for r in centrality.edge_betweenness(pairs).collect()}
+    assert searched == [4]
+    assert got["a", "x1"] == 2 * 23 and got["a", "x2"] == 24 and got["x1", "y"] == 24 and got["p", "q"] == got["q", "r"] == 2
+    assert got["a", "b"] == 22 + 0.5 * 22 + 0.5 and got["b", "c"] == 1 + 0.5 * 22 + 0.5
