@@ -68,3 +68,17 @@ def test_edge_betweenness_takes_trees_off(spark, monkeypatch):
     assert searched == [4]
     assert got["a", "x1"] == 2 * 23 and got["a", "x2"] == 24 and got["x1", "y"] == 24 and got["p", "q"] == got["q", "r"] == 2
     assert got["a", "b"] == 22 + 0.5 * 22 + 0.5 and got["b", "c"] == 1 + 0.5 * 22 + 0.5
+
+
+def test_calls_meet_their_chain_before_methods(spark):
+    from weftline.operators.ancestry import bound_calls
+
+    calls = spark.createDataFrame([("s1", "A", "f", None), ("s2", "A", "f", "A"), ("s3", "B", "g", None), ("s4", "A", "h", None)], "src string, type string, name string, after string")
+    order = spark.createDataFrame([("A", "A", 1), ("A", "M", 2), ("B", "B", 1), ("B", "U", 2), ("B", "M", 3)], "type string, at string, pos int")
+    types = spark.createDataFrame([("A",), ("B",), ("M",)], "type string")
+    methods = spark.createDataFrame([("A", "f", "1"), ("M", "f", "2"), ("M", "g", "3"), ("M", "h", "4"), ("M", "h", "5")], "owner string, name string, id string")
+    found = bound_calls(calls, order, types, methods)
+    got = {r["src"]: (r["owner"], r["dst"], r["state"]) for r in found.collect()}
+    assert got == {"s1": ("A", "1", "bound"), "s2": ("M", "2", "bound"), "s3": (None, None, "barrier"), "s4": (None, None, "ambiguous")}
+    joins = [x.split("Inner, ")[1] for x in plan(found).splitlines() if "Join Inner" in x]
+    assert not any(x.startswith("(name#") and "at#" not in x for x in joins)  # never by name alone

@@ -64,7 +64,8 @@ def bound_calls(calls: DataFrame, order: DataFrame, types: DataFrame, methods: D
     own = methods.groupBy(F.col("owner").alias("at"), "name").agg(F.min("id").alias("dst"), F.count_distinct("id").alias("n"))
     start = order.select("type", F.col("at").alias("after"), F.col("pos").alias("behind"))
     asked = asked.join(start, ["type", "after"], "left").withColumn("behind", F.coalesce("behind", F.lit(0))).where("after is null or behind > 0")
-    hits = asked.join(own, "name").join(order, ["type", "at"]).where("pos > behind")
+    # along the chain first: a name may be a method of any number of types
+    hits = asked.join(order, "type").where("pos > behind").join(own, ["at", "name"])
     first = hits.groupBy("src", "type", "name", "behind").agg(F.min_by(F.struct("pos", "at", "dst", "n"), "pos").alias("hit"))
     walls = chain.where("known is null").select("type", F.col("pos").alias("wall"))
     key = ["src", "type", "name", "behind"]
