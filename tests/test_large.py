@@ -82,3 +82,13 @@ def test_calls_meet_their_chain_before_methods(spark):
     assert got == {"s1": ("A", "1", "bound"), "s2": ("M", "2", "bound"), "s3": (None, None, "barrier"), "s4": (None, None, "ambiguous")}
     joins = [x.split("Inner, ")[1] for x in plan(found).splitlines() if "Join Inner" in x]
     assert not any(x.startswith("(name#") and "at#" not in x for x in joins)  # never by name alone
+
+
+def test_stored_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from weftline import session
+
+    monkeypatch.setattr(session, "FEW", 5, raising=False)
+    many, few = session.stored(spark.range(10)), session.stored(spark.range(4))
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in shown(many.join(many.withColumnRenamed("id", "k"), many["id"] == 2 * session.F.col("k")))
+    assert "Broadcast" in shown(spark.range(10**9).join(few, "id"))
