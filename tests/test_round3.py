@@ -11,3 +11,26 @@ def test_communities_go_round_with_numbers(spark):
     assert {r["id"]: r["n"] for r in known.collect()} == {"a": 0, "b": 1, "c": 2, "é": 3}
     assert dict(around.dtypes) == {"a": "bigint", "b": "bigint"}
     assert sorted(map(tuple, around.collect())) == [(0, 1), (0, 3), (1, 0), (1, 2), (2, 1), (3, 0)]
+
+
+def test_searches_count_degrees_once_and_take_edges_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators import graph
+
+    edges = [("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "d"), ("d", "e")]
+    pairs = spark.createDataFrame(edges, "u string, v string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def told(d):
+        seen.add(1)
+        return d
+
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
+    degreed = nodes.withColumn("degree", told(F.lit(2).cast("long") + F.length("id") * 0))
+    seeds = spark.createDataFrame([("a",)], "id string")
+    assert {tuple(r) for r in graph.khop(seeds, pairs, degreed, 3).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert seen.value == 6
+    assert {tuple(r) for r in graph.dfs(seeds, pairs, degreed, 3).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert seen.value == 12

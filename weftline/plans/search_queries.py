@@ -113,11 +113,11 @@ def query_terms_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms, scores, seeds, traversal and rendering in one plan."""
     from ..operators import graph as G
+    from ..session import stored
 
     n, e = nodes(spark, sf_dir), links(spark, sf_dir)
-    pairs = G.simple(e)
-    degreed = G.degrees(n, pairs)
-    found = G.khop(S.seeds(S.ranked(n, TERMS)), pairs, degreed, 2).join(degreed, "id")
+    degreed = stored(G.degrees(n, G.simple(e)).select("id", "label", "source_file", "degree"))
+    found = G.khop(S.seeds(S.ranked(n, TERMS)), G.ends(e), degreed, 2).join(degreed, "id")
     line = F.concat_ws(" ", F.lit("NODE"), "label", "source_file")
     lines = found.select("hop", "degree", "id", line.alias("line"))
     return S.within_budget(lines, "line", [F.col("hop"), F.desc("degree"), F.col("id")], 2000).select("id", "hop", "line", "used")
