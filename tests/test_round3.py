@@ -34,3 +34,17 @@ def test_searches_count_degrees_once_and_take_edges_as_they_are(spark):
     assert seen.value == 6
     assert {tuple(r) for r in graph.dfs(seeds, pairs, degreed, 3).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert seen.value == 12
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_one_line_are_swept_once(spark):
+    from weftline.operators import nesting
+
+    scopes = spark.createDataFrame([("f", 1, 9, "a"), ("f", 3, 5, "b"), (None, 1, 2, "c")], "path string, start int, end int, id string")
+    rows = [("f", 4, "x"), ("f", 4, "y"), ("f", 4, "y"), ("f", 8, "z"), ("f", 20, "o"), ("f", None, "n"), ("g", 4, "g"), (None, 1, "q")]
+    found = nesting.innermost(scopes, spark.createDataFrame(rows, "path string, line int, member string"))
+    assert sorted(((r["member"], r["scope"]) for r in found.collect()), key=str) == sorted([("x", "b"), ("y", "b"), ("y", "b"), ("z", "a"), ("o", None), ("n", None), ("g", None), ("q", "c")], key=str)
+    assert "member" not in next(x for x in _plan(found).splitlines() if "FlatMapCoGroups" in x)

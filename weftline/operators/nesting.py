@@ -37,16 +37,18 @@ def innermost(scopes: DataFrame, places: DataFrame) -> DataFrame:
 
     A sweep over a file's lines: scopes open and close on a stack, and a place belongs to the top. The
     scopes of a file nest; a place without a line has no scope. Of those that begin on one line the longer one is outside, of equal
-    ones the smaller id. What crosses is closed with what it began in. A file is one group.
+    ones the smaller id. What crosses is closed with what it began in. A file's scopes and its different lines
+    are one group; places, however many there are on a line, never are.
     """
     names = [c for c in places.columns if c != "path"]
-    schema = ", ".join(f"`{c}` {dict(places.dtypes)[c]}" for c in ("path", *names)) + ", scope " + dict(scopes.dtypes)["id"]
+    kinds = dict(places.dtypes)
+    schema = f"_path {kinds['path']}, _line {kinds['line']}, scope {dict(scopes.dtypes)['id']}"
 
     def sweep(key: tuple, scoped: pd.DataFrame, placed: pd.DataFrame) -> pd.DataFrame:
         opens = sorted(zip(scoped["start"], -scoped["end"], scoped["id"], strict=True))
         stack: list[tuple] = []
         at, found = 0, {}
-        for line in sorted(set(placed["line"].dropna())):
+        for line in sorted(placed["line"]):
             while at < len(opens) and opens[at][0] <= line:
                 while stack and stack[-1][0] < opens[at][0]:
                     stack.pop()
@@ -55,13 +57,14 @@ def innermost(scopes: DataFrame, places: DataFrame) -> DataFrame:
             while stack and stack[-1][0] < line:
                 stack.pop()
             found[line] = stack[-1][1] if stack else None
-        columns = {c: placed[c].tolist() for c in ("path", *names)}
-        return pd.DataFrame(columns | {"scope": [found.get(x) for x in columns["line"]]}, dtype=object)
+        return pd.DataFrame({"_path": [key[0]] * len(found), "_line": list(found), "scope": list(found.values())}, dtype=object)
 
     own = scopes.where("start is not null and end is not null and id is not null").groupBy("path")
     placed = places.select("path", *names)
-    found = own.cogroup(placed.where("line is not null").groupBy("path")).applyInPandas(sweep, schema)
-    return found.unionByName(placed.where("line is null").withColumn("scope", F.lit(None).cast(dict(scopes.dtypes)["id"])))
+    lines = placed.where("line is not null").select("path", "line").distinct()
+    found = own.cogroup(lines.groupBy("path")).applyInPandas(sweep, schema)
+    at = F.col("path").eqNullSafe(F.col("_path")) & (F.col("line") == F.col("_line"))
+    return placed.join(found, at, "left").drop("_path", "_line")
 
 
 def merged_parts(types: DataFrame) -> DataFrame:
