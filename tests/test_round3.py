@@ -48,3 +48,9 @@ def test_places_of_one_line_are_swept_once(spark):
     found = nesting.innermost(scopes, spark.createDataFrame(rows, "path string, line int, member string"))
     assert sorted(((r["member"], r["scope"]) for r in found.collect()), key=str) == sorted([("x", "b"), ("y", "b"), ("y", "b"), ("z", "a"), ("o", None), ("n", None), ("g", None), ("q", "c")], key=str)
     assert "member" not in next(x for x in _plan(found).splitlines() if "FlatMapCoGroups" in x)
+
+
+def test_votes_take_repeated_pairs_once(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("a", "c"), ("d", "a"), ("a", "a")], "u string, v string")
+    members = spark.createDataFrame([("a", 9), ("b", 1), ("c", 2), ("d", 2)], "id string, community int")
+    assert [tuple(r) for r in community.vote(spark.createDataFrame([("a",)], "id string"), members, pairs).collect()] == [("a", 2)]
