@@ -54,3 +54,12 @@ def test_votes_take_repeated_pairs_once(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("a", "c"), ("d", "a"), ("a", "a")], "u string, v string")
     members = spark.createDataFrame([("a", 9), ("b", 1), ("c", 2), ("d", 2)], "id string, community int")
     assert [tuple(r) for r in community.vote(spark.createDataFrame([("a",)], "id string"), members, pairs).collect()] == [("a", 2)]
+
+
+def test_diagnoses_read_no_files_and_deal_no_values(spark, sf_dir):
+    import __spark_entry__
+
+    for name in ("diagnosis_report",):
+        plan = _plan(__spark_entry__.queries()[name](spark, sf_dir))
+        assert "Inner, (l_" not in plan and "Expand" not in plan
+    assert "Expand" not in _plan(__spark_entry__.queries()["diagnose_edges"](spark, sf_dir))

@@ -11,7 +11,7 @@ from ..sources.extract import sql_routines
 from ..sources.office import sidecars
 from .display_queries import given, given_sql
 from .feedback_queries import DOC_SQL, NOW, memory
-from .kgview import edges, kg, nodes, table
+from .kgview import kg, links, nodes, table
 from .registry import query
 
 
@@ -30,7 +30,7 @@ LOST = "missing_end + dangling + duplicates_directed"
 )
 def diagnosis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a diagnosis of the graph."""
-    return R.diagnosis(nodes(spark, sf_dir), edges(spark, sf_dir)).select("line")
+    return R.diagnosis(nodes(spark, sf_dir), links(spark, sf_dir)).select("line")
 
 
 LEARNT = "CASE WHEN user_id % 23 < 17 THEN user_id % 5 END"
