@@ -59,7 +59,7 @@ def test_votes_take_repeated_pairs_once(spark):
 def test_diagnoses_read_no_files_and_deal_no_values(spark, sf_dir):
     import __spark_entry__
 
-    for name in ("diagnosis_report",):
+    for name in ("diagnosis_report", "collapse_simple_graph", "duplicate_pair_examples"):
         plan = _plan(__spark_entry__.queries()[name](spark, sf_dir))
         assert "Inner, (l_" not in plan and "Expand" not in plan
     assert "Expand" not in _plan(__spark_entry__.queries()["diagnose_edges"](spark, sf_dir))

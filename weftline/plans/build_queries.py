@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build as B
-from .kgview import edges, kg, nodes, part_file, table
+from .kgview import edges, kg, links, nodes, part_file, table
 from .registry import query
 
 RAW_SQL = """, raw AS (
@@ -41,7 +41,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT u, v, src, dst, relation, confidence, weight, n_edges FROM g WHERE k = 1"""),
 )
 def collapse_simple_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.collapse(edges(spark, sf_dir))
+    return B.collapse(links(spark, sf_dir))
 
 
 @query(
@@ -139,7 +139,7 @@ def diagnose_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     kg("""SELECT src, dst, count(*) AS n, array_to_string(list_sort(list(DISTINCT relation)), ',') AS relations FROM edges GROUP BY src, dst HAVING count(*) > 1 ORDER BY n DESC, src, dst LIMIT 5"""),
 )
 def duplicate_pair_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = edges(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("relation")), ",").alias("relations"))
+    g = links(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("relation")), ",").alias("relations"))
     return g.where("n > 1").orderBy(F.desc("n"), "src", "dst").limit(5)
 
 
