@@ -22,3 +22,18 @@ def test_betweenness_keeps_a_row_for_a_node_not_for_each_source(spark, monkeypat
     monkeypatch.setattr(centrality, "WIDTH", 7)  # several runs of sources side by side
     again = dict(centrality.betweenness(df, 40).collect())
     assert all_.keys() == again.keys() and all(abs(all_[k] - again[k]) < 1e-5 for k in all_)
+
+
+def test_url_models_count_every_url(spark, monkeypatch):
+    from weftline.llm import queries, url_lm
+
+    seen, plain = [], url_lm.gains
+    monkeypatch.setattr(url_lm, "gains", lambda counted, order: seen.append(counted) or plain(counted, order))
+    urls = [f"http://a{i}.org/x" for i in range(9000)] + ["http://b.com/de/y", "http://c.net/é😀"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_lm.filter_urls(df, queries.URL_RULES).collect()}
+    assert len(got) == len(urls) and got[9001]["score"] is not None
+    from zlib import crc32
+
+    ends = seen[0].where("gram like '%org/x\0'").groupBy().sum("a").first()[0]
+    assert ends == sum(crc32(u.encode()) % 5 != 0 for u in urls[:9000])
