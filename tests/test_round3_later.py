@@ -37,3 +37,23 @@ def test_url_models_count_every_url(spark, monkeypatch):
 
     ends = seen[0].where("gram like '%org/x\0'").groupBy().sum("a").first()[0]
     assert ends == sum(crc32(u.encode()) % 5 != 0 for u in urls[:9000])
+
+
+def test_orders_are_written_once_and_only_what_is_asked_for_is_kept(spark, monkeypatch):
+    from weftline.operators import ancestry
+
+    kept, sizes = ancestry.stored, []
+
+    def counted(df):
+        out = kept(df)
+        if "pos" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ancestry, "stored", counted)
+    chain = [(f"t{i}", "inherit", 1, f"t{i - 1}") for i in range(1, 9)]
+    alone = [(f"a{i}",) for i in range(300)]
+    types = spark.createDataFrame([(f"t{i}",) for i in range(9)] + alone, "type string")
+    found = ancestry.linearised(types, spark.createDataFrame(chain, "type string, kind string, ord int, of string"))
+    assert found.count() == 300 + 45 and found.where("type = 't8' and at = 't0'").first()["pos"] == 9
+    assert sum(sizes) < 500  # 300 types that nobody asks for are not written again each round

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, dropped, released, stored
+from ..session import dropped, released, stored
 
 #: Where a type's parts stand in its order: prepended mixins, the last one first, itself, included
 #: ones, the last one first, and what its parent has.
@@ -27,28 +29,31 @@ def linearised(types: DataFrame, parts: DataFrame) -> DataFrame:
     links = stored(links.join(own, "type", "left_semi"))
     leaves = links.select("of").distinct().join(own, F.col("of") == F.col("type"), "left_anti").select(F.col("of").alias("type"))
     first = own.join(links, "type", "left_anti").union(leaves).distinct()
-    done = stored(first.select("type", F.col("type").alias("at"), F.lit(1).alias("pos")))
+    # Each round's orders are written once. What is kept at hand for the next rounds are the orders that
+    # waiting types ask for, so that a round costs what is still open, not all that is done.
+    found = [stored(first.select("type", F.col("type").alias("at"), F.lit(1).alias("pos")))]
     waiting = stored(own.join(links, "type", "left_semi"))
+    asked = lambda df: df.join(links.select(F.col("of").alias("type")).distinct(), "type", "left_semi")
+    at_hand = stored(asked(found[0]))
     while True:
-        known = done.select("type").distinct()
-        open_ = links.join(waiting, "type", "left_semi")
-        held = open_.join(known, F.col("of") == known["type"], "left_anti").select("type").distinct()
+        # a part is either done or waits itself
+        held = links.join(waiting.select(F.col("type").alias("of")), "of", "left_semi").select("type").distinct()
         ready = stored(waiting.join(held, "type", "left_anti"))
         if ready.isEmpty():
             break
-        above = links.join(ready, "type", "left_semi").join(done.select(F.col("type").alias("of"), "at", "pos"), "of").select("type", "at", F.struct("side", "turn", "pos").alias("place"))
+        above = links.join(ready, "type", "left_semi").join(at_hand.select(F.col("type").alias("of"), "at", "pos"), "of").select("type", "at", F.struct("side", "turn", "pos").alias("place"))
         self_ = ready.select("type", F.col("type").alias("at"), F.struct(F.lit(0).alias("side"), F.lit(0).cast(dict(links.dtypes)["turn"]).alias("turn"), F.lit(0).alias("pos")).alias("place"))
         last = above.union(self_).groupBy("type", "at").agg(F.max("place").alias("place"))
-        new = last.select("type", "at", F.row_number().over(Window.partitionBy("type").orderBy("place")).alias("pos"))
-        grown, left = stored(done.union(new)), stored(waiting.join(ready, "type", "left_anti"))
-        for old in (done, waiting, ready):
+        found.append(stored(last.select("type", "at", F.row_number().over(Window.partitionBy("type").orderBy("place")).alias("pos"))))
+        left = stored(waiting.join(ready, "type", "left_anti"))
+        before, links = (links, waiting, ready, at_hand), stored(links.join(left, "type", "left_semi"))
+        waiting, at_hand = left, stored(asked(at_hand.union(found[-1])))
+        for old in before:
             dropped(old)
-        done, waiting = grown, left
-        released(done)
-    found = checkpointed(done)
-    for old in (ready, links, waiting, done):
+        released(at_hand)
+    for old in (ready, links, waiting, at_hand):
         dropped(old)
-    return found
+    return reduce(DataFrame.union, (x.select("type", "at", "pos") for x in found))
 
 
 def bound_calls(calls: DataFrame, order: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
