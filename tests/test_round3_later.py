@@ -57,3 +57,23 @@ def test_orders_are_written_once_and_only_what_is_asked_for_is_kept(spark, monke
     found = ancestry.linearised(types, spark.createDataFrame(chain, "type string, kind string, ord int, of string"))
     assert found.count() == 300 + 45 and found.where("type = 't8' and at = 't0'").first()["pos"] == 9
     assert sum(sizes) < 500  # 300 types that nobody asks for are not written again each round
+
+
+def test_ends_that_are_ids_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators.resolve import resolve_ends
+
+    ids = spark.createDataFrame([(f"n{i}",) for i in range(400)] + [("x_1",), ("N5",)], "id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(399)] + [("X 1", "n0"), ("gone", "N 5")], "src string, dst string")
+    for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, "false" if "adaptive" in k else "-1")
+    try:
+        found = resolve_ends(edges, ids, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9_]+", "_"))
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+    assert {(r["src"], r["dst"]) for r in got} == {(f"n{i}", f"n{i + 1}") for i in range(399)} | {("x_1", "n0"), (None, None)}
+    sizes = [r["task"] for r in got]
+    assert max(sizes.count(t) for t in set(sizes)) < 200

@@ -20,7 +20,8 @@ def resolve_ends(edges: DataFrame, nodes: DataFrame, normal: Callable[[Column],
     by_form = unique_by(nodes, normal(F.col("id")), "_form").withColumnRenamed("id", "_id")
     for end in ("src", "dst"):
         exact = nodes.select(F.col("id").alias(end), F.lit(True).alias("_hit"))
-        e = edges.join(exact, end, "left").withColumn("_form", F.when(F.col("_hit").isNull(), normal(F.col(end))))
+        # an end that is an id needs no form; its own text, of which the match is not used, keeps such rows from meeting in one task
+        e = edges.join(exact, end, "left").withColumn("_form", F.when(F.col("_hit").isNull(), normal(F.col(end))).otherwise(F.col(end)))
         edges = e.join(by_form, "_form", "left").withColumn(end, F.when(F.col("_hit"), F.col(end)).otherwise(F.col("_id"))).drop("_hit", "_form", "_id")
     return edges
 
