@@ -84,3 +84,15 @@ def test_differences_read_the_edges_once(spark, sf_dir):
 
     plan = _plan(__spark_entry__.queries()["graph_diff_edges"](spark, sf_dir))
     assert sum("l_orderkey" in x and "Relation" in x for x in plan.splitlines()) == 1 and "p_brand" not in plan
+
+
+def test_notes_deal_neighbours_out_once(spark):
+    from weftline.sinks import pages
+
+    nodes = spark.createDataFrame([(x, x.upper(), "code", 1) for x in "abc"], "id string, label string, file_type string, community int")
+    links = spark.createDataFrame([("a", "c"), ("c", "a"), ("a", "c"), ("a", "b"), ("b", "b")], "src string, dst string")
+    found = pages.vault_notes(nodes, links, 1)
+    assert {r["id"]: r["note"].split("\n")[-1] for r in found.collect()} == {"a": "- [[B]]", "b": "- [[A]]", "c": "- [[A]]"}
+    lines = _plan(found).splitlines()
+    at = next(i for i, x in enumerate(lines) if "dense_rank" in x)
+    assert not any("Aggregate" in x for x in lines[at + 1 : at + 5])
