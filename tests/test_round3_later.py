@@ -96,3 +96,10 @@ def test_notes_deal_neighbours_out_once(spark):
     lines = _plan(found).splitlines()
     at = next(i for i, x in enumerate(lines) if "dense_rank" in x)
     assert not any("Aggregate" in x for x in lines[at + 1 : at + 5])
+
+
+def test_call_tables_find_what_is_shown_once(spark, sf_dir):
+    import __spark_entry__
+
+    plan = _plan(__spark_entry__.queries()["call_tables"](spark, sf_dir))
+    assert "row_number() windowspecdefinition(section" not in plan and "n_nationkey" in plan  # links are read, ranks of nodes are not found again
