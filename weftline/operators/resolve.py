@@ -55,13 +55,29 @@ def stub_mapping(nodes: DataFrame, key: Column) -> DataFrame:
     return nodes.where("source_file = ''").select(F.col("id").alias("stub"), key.alias("key")).join(defined, "key").select(F.col("stub").alias("id"), F.col("id").alias("to"))
 
 
+#: Nodes of one key and repository that a block of same_types() holds, about.
+BLOCK = 2000
+
+
 def same_types(nodes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """src < dst of different repositories with equal namespace and label. nodes: id, repo,
-    namespace, label. Only keys seen in several repositories are joined."""
-    wide = nodes.groupBy("namespace", "label").agg(F.countDistinct("repo").alias("n")).where("n > 1").select("namespace", "label")
-    n = nodes.join(wide, ["namespace", "label"], "left_semi")
-    a, b = (n.select("namespace", "label", F.col("id").alias(i), F.col("repo").alias(r)) for i, r in (("src", "ra"), ("dst", "rb")))
-    pairs = a.join(b, ["namespace", "label"]).where("src < dst and ra <> rb").select("src", "dst", F.lit("same_type_as").alias("relation"), F.lit(0.9).alias("score"))
+    namespace, label. Only keys seen in several repositories are joined, two repositories at a
+    time, so that rows that meet are pairs (but for equal ids); large groups are cut into blocks, and every
+    two of these are a task's unit, however few the rows are that make the pairs."""
+    key = ["namespace", "label"]
+    n = nodes.where("id is not null and repo is not null")
+    sizes = n.groupBy(*key, "repo").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    met = sizes.withColumnsRenamed({"repo": "ra", "k": "ka"}).join(sizes.withColumnsRenamed({"repo": "rb", "k": "kb"}), key).where("ra < rb")
+    keys, tasks = [*key, "ra", "rb", "ba", "bb"], int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(repo: str, own: str, own_of: str, other: str, other_of: str, end: str) -> DataFrame:
+        rows = n.select(*key, F.col("repo").alias(repo), F.col("id").alias(end)).join(met, [*key, repo])
+        block = F.pmod(F.xxhash64(end), F.col(own_of)).cast("int")
+        rows = rows.select("*", block.alias(own), F.explode(F.sequence(F.lit(0), F.col(other_of) - 1)).alias(other))
+        return rows.select(*keys, end).repartition(tasks, *keys)
+
+    pairs = side("ra", "ba", "ka", "bb", "kb", "a").join(side("rb", "bb", "kb", "ba", "ka", "b").hint("merge"), keys).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit("same_type_as").alias("relation"), F.lit(0.9).alias("score"))
     return pairs if existing is None else pairs.join(existing.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
