@@ -17,3 +17,13 @@ def test_same_types_deal_a_large_group_out(spark, monkeypatch):
     want = [(a[0], b[0]) for a in rows for b in rows if None not in a + b and a[2:] == b[2:] and a[0] < b[0] and a[1] != b[1]]
     assert sorted((x["src"], x["dst"]) for x in found.collect()) == sorted(want)
     assert max(tasks) < len(want) / 2  # one key, and yet no task makes most of the pairs
+
+
+def test_fuzzy_labels_are_judged_once_a_label_not_once_a_row(spark):
+    from weftline.operators import dedup
+
+    nodes = spark.createDataFrame([(f"n{i}", f"The Great Valve Assembly {'AB'[i % 2]}") for i in range(40)] + [("m", "the great valve assembly a"), ("x", None)], "id string, label string")
+    plan = dedup.fuzzy_pairs(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(label" not in plan  # the filter by entropy has not moved below what makes labels distinct
+    found = dict(dedup.fuzzy_components(nodes).where("id <> 'x'").collect())
+    assert found["m"] == found["n0"] and len(found) == 41
