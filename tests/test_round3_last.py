@@ -27,3 +27,14 @@ def test_fuzzy_labels_are_judged_once_a_label_not_once_a_row(spark):
     assert "lower(label" not in plan  # the filter by entropy has not moved below what makes labels distinct
     found = dict(dedup.fuzzy_components(nodes).where("id <> 'x'").collect())
     assert found["m"] == found["n0"] and len(found) == 41
+
+
+def test_json_is_parsed_once(spark):
+    from weftline.sources import graph_json
+
+    rows = spark.createDataFrame([('{"id":"a","name":"A"}',), ('{"label":"B"}',), ("{broken",), (None,), ('{"from":"a","to":"b","type":"t"}',), ('{"source":"a"}',)], "json string")
+    nodes, links = graph_json.parse_nodes(rows), graph_json.parse_links(rows)
+    for df in (nodes, links):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in nodes.collect()] == [("a", "A", None, None, None)]
+    assert [tuple(r) for r in links.collect()] == [("a", "b", "t", None)]

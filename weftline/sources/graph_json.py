@@ -9,15 +9,19 @@ NODE = "id string, label string, name string, file_type string, source_file stri
 LINK = "source string, target string, `from` string, `to` string, relation string, type string, confidence string"
 
 
+def _read(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """The fields of each object, which is parsed once: no filter on a field moves below a generator, to parse (and what made the text, to write) again."""
+    return rows.select(F.inline(F.array(F.from_json(column, schema, {"mode": "PERMISSIVE"}))))
+
+
 def parse_nodes(rows: DataFrame, column: str = "json") -> DataFrame:
-    r = rows.select(F.from_json(column, NODE, {"mode": "PERMISSIVE"}).alias("r")).where("r.id is not null")
-    return r.select("r.id", F.coalesce("r.label", "r.name").alias("label"), "r.file_type", "r.source_file", "r.community")
+    return _read(rows, column, NODE).where("id is not null").select("id", F.coalesce("label", "name").alias("label"), "file_type", "source_file", "community")
 
 
 def parse_links(rows: DataFrame, column: str = "json") -> DataFrame:
-    r = rows.select(F.from_json(column, LINK, {"mode": "PERMISSIVE"}).alias("r"))
-    src, dst = F.coalesce("r.source", "r.from"), F.coalesce("r.target", "r.to")
-    return r.select(src.alias("src"), dst.alias("dst"), F.coalesce("r.relation", "r.type").alias("relation"), "r.confidence").where("src is not null and dst is not null")
+    r = _read(rows, column, LINK)
+    src, dst = F.coalesce("source", "from"), F.coalesce("target", "to")
+    return r.select(src.alias("src"), dst.alias("dst"), F.coalesce("relation", "type").alias("relation"), "confidence").where("src is not null and dst is not null")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
