@@ -38,3 +38,11 @@ def test_json_is_parsed_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert [tuple(r) for r in nodes.collect()] == [("a", "A", None, None, None)]
     assert [tuple(r) for r in links.collect()] == [("a", "b", "t", None)]
+
+
+def test_sections_are_joined_in_parts_that_are_not_put_together(spark, sf_dir):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["section_edge_summary"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 4

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..session import dealt
 from ..sinks import formats as W
 from .kgview import kg, links, nodes
 from .registry import query
@@ -82,7 +83,9 @@ def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def section_edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = nodes(spark, sf_dir).select("id", F.substring_index("source_file", "/", 1).alias("s"))
-    e = links(spark, sf_dir).join(top.withColumnsRenamed({"id": "src", "s": "sa"}), "src").join(top.withColumnsRenamed({"id": "dst", "s": "sb"}), "dst")
+    e = links(spark, sf_dir).select("src", "dst", "relation")
+    for end, s in (("src", "sa"), ("dst", "sb")):
+        e = dealt(e, end).join(dealt(top.withColumnsRenamed({"id": end, "s": s}), end), end).drop(end)
     return e.groupBy("sa", "sb").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("relation")), ",").alias("relations"))
 
 
