@@ -19,3 +19,16 @@ def test_paths_longer_than_the_sql_asks_for_give_no_row(spark, monkeypatch, betw
     rows = ", ".join(f"('{r['src']}', '{r['dst']}')" for r in edges.collect())
     given = f"WITH RECURSIVE edges(src, dst) AS (VALUES {rows}), arc AS" + sql.split(", arc AS", 1)[1]
     assert [r[0] for r in duckdb.connect().sql(given).fetchall()] == hops
+
+
+def test_edges_are_dealt_out_once_to_be_collapsed(spark, sf_dir):
+    from weftline.operators import build
+    from weftline.plans import kgview
+
+    columns = "src string, dst string, relation string, context string, confidence string, weight double, source_location string"
+    rows = [("b", "a", "calls"), ("a", "b", "calls"), ("b", "a", "uses"), ("c", "a", "uses"), ("a", "c", "calls"), ("c", "c", "imports"), ("d", "d", "calls"), ("e", None, "calls")]
+    edges = spark.createDataFrame([(*r, "x", "EXTRACTED", float(i), None) for i, r in enumerate(rows)], columns)
+    got = {tuple(r) for r in build.collapse(edges).select("u", "v", "src", "relation", "weight", "n_edges").collect()}
+    assert got == {("a", "b", "a", "calls", 1.0, 2), ("a", "c", "a", "calls", 4.0, 2), ("d", "d", "d", "calls", 6.0, 1), ("e", "e", "e", "calls", 7.0, 1)}
+    plan = build.collapse(kgview.links(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "context" not in plan

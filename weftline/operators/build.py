@@ -59,9 +59,13 @@ def first_by_edge(edges: DataFrame, order: Column) -> DataFrame:
 def collapse(edges: DataFrame) -> DataFrame:
     """One edge for each undirected pair, as if written in order of src, dst, relation: the
     last one stays, but a reverse of the same relation is skipped and a generic relation
-    never replaces a specific one. Import self loops are dropped."""
+    never replaces a specific one. Import self loops are dropped.
+
+    Edges are dealt out once, by pair, and with what is asked of them only."""
     e = edges.where(~((F.col("src") == F.col("dst")) & F.col("relation").isin(*IMPORT_FAMILY)))
-    e = e.withColumns({"u": F.least("src", "dst"), "v": F.greatest("src", "dst")})
+    e = e.select("src", "dst", "relation", "confidence", "weight", "source_location")
+    u, v = F.least("src", "dst"), F.greatest("src", "dst")
+    e = e.repartition(u, v).withColumns({"u": u, "v": v})
     # A relation counts in the direction that comes first; only its last row of that direction can stay.
     one_way = Window.partitionBy("u", "v", "relation")
     e = e.withColumn("_first", F.min("src").over(one_way)).where("src = _first")
