@@ -32,3 +32,27 @@ def test_edges_are_dealt_out_once_to_be_collapsed(spark, sf_dir):
     assert got == {("a", "b", "a", "calls", 1.0, 2), ("a", "c", "a", "calls", 4.0, 2), ("d", "d", "d", "calls", 6.0, 1), ("e", "e", "e", "calls", 7.0, 1)}
     plan = build.collapse(kgview.links(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "context" not in plan
+
+
+def test_labels_go_round_by_blocks_as_in_a_plain_loop(spark, monkeypatch):
+    import random
+
+    from weftline.operators import community, rounds
+
+    draw = random.Random(5)
+    pairs = {tuple(sorted(draw.sample(range(40), 2))) for _ in range(70)} | {(0, k) for k in range(1, 25)}
+    df = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in sorted(pairs)], "u string, v string")
+    known, around = community.by_number(df)
+    turns, near = {r["n"]: r["turns"] for r in known.collect()}, {}
+    for a, b in around.collect():
+        near.setdefault(a, []).append(b)
+    now, held = {n: n for n in turns}, []
+    while True:
+        count = {n: {x: sum(now[b] == x for b in near[n]) for x in {now[b] for b in near[n]}} for n in now}
+        best = {n: min(c, key=lambda x: (-c[x], x != now[n], x)) for n, c in count.items()}
+        held.append(sum(c.get(now[n], 0) for n, c in count.items()))
+        if best == now or len(held) > 2 and held[-1] - held[-3] < 0.001 * 2 * len(pairs):
+            break
+        now = {n: best[n] if turns[n] >> ((len(held) - 1) % community.TURNS) & 1 else now[n] for n in now}
+    monkeypatch.setattr(rounds, "LEAST", 3)
+    assert dict(rounds.settled(around, known.select("n", "turns"), 0.001, community.TURNS).collect()) == now
