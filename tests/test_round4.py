@@ -56,3 +56,21 @@ def test_labels_go_round_by_blocks_as_in_a_plain_loop(spark, monkeypatch):
         now = {n: best[n] if turns[n] >> ((len(held) - 1) % community.TURNS) & 1 else now[n] for n in now}
     monkeypatch.setattr(rounds, "LEAST", 3)
     assert dict(rounds.settled(around, known.select("n", "turns"), 0.001, community.TURNS).collect()) == now
+
+
+def test_searches_of_many_sources_leave_scores_only(spark, tmp_path, monkeypatch):
+    import glob
+
+    from weftline import session
+    from weftline.operators import centrality
+
+    made, keep = [], session.stored
+    monkeypatch.setattr(centrality, "stored", lambda df: made.append(keep(df)) or made[-1])
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "d"), ("d", "e"), ("e", "f")], "u string, v string")
+    want = dict(centrality.betweenness(pairs).collect())
+    monkeypatch.setattr(centrality, "HELD", 0)
+    monkeypatch.setattr(centrality, "NARROWEST", 2)
+    made.clear()
+    assert dict(centrality.betweenness(pairs).collect()) == want and want["d"] > want["e"] > 0
+    left = [t.columns for t in made if any(glob.glob(f.removeprefix("file:")) for f in t.inputFiles())]
+    assert left and all(columns == ["n", "score"] for columns in left) and len(made) > len(left)
